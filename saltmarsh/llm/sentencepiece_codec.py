@@ -8,7 +8,7 @@ ordered by score) and byte fallback.
 No piece of a usual model has the white space marker behind another character, so a merge never
 crosses from a character to a marker behind it. A text is then encoded in units of a run of spaces
 and the characters up to the next one; equal units of a task are encoded once, in multithreaded
-batches, and each is compared with the SentencePiece library itself. Where a model has such pieces,
+batches, decoded again, and compared with what the SentencePiece library gives. Where a model has such pieces,
 or isn't BPE, the unit is the whole text.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNITS = 200_000  # units that a task keeps encoded
+UNITS = 600_000  # units that a task keeps encoded
 SLICE = 1024  # rows that are encoded at a time
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -150,7 +150,8 @@ class Codec:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids, self.starts, self.sizes, self.same = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.same, self.back = np.zeros(0, bool), np.zeros(0, bool)
 
     def _learn(self, units: list[str]) -> None:
         """Encode new units. One begins with a space, which the prepended marker stands for."""
@@ -165,10 +166,12 @@ class Codec:
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
         self.sizes = np.append(self.sizes, sizes)
         self.ids = np.append(self.ids, np.fromiter((i for x in found for i in x), np.int32))
-        self.same = np.append(self.same, [got == want or (self.by_units and not t) for got, want, t in zip(found, expected, texts, strict=True)])
+        same = [got == want or (self.by_units and not t) for got, want, t in zip(found, expected, texts, strict=True)]
+        self.same = np.append(self.same, same)
+        self.back = np.append(self.back, [a == b for a, b in zip(self.decode(found), texts, strict=True)])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, the bounds of each text's ids, and whether each equals what SentencePiece gives."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the bounds of each text's ids, whether each equals what SentencePiece gives, and whether it decodes to the text."""
         if len(self.index) > UNITS:
             self._forget()
         split = re.compile(" +[^ ]*").findall if self.by_units else lambda x: [x[1:]] if len(x) > 1 else []
@@ -183,8 +186,8 @@ class Codec:
         place = np.arange(counts.sum()) + np.repeat(self.starts[at] - ends + counts, counts)
         rows = np.cumsum([0, *map(len, units)])
         bounds = np.append(0, ends)[rows]
-        bad = np.append(0, np.cumsum(~self.same[at]))
-        return self.ids[place], bounds, bad[rows[1:]] == bad[rows[:-1]]
+        odd, lost = (np.append(0, np.cumsum(~x[at])) for x in (self.same, self.back))
+        return self.ids[place], bounds, odd[rows[1:]] == odd[rows[:-1]], lost[rows[1:]] == lost[rows[:-1]]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -203,16 +206,15 @@ def _codec(data: bytes, threads: int) -> Codec:
     return Codec(data, threads)
 
 
-def encode(df: DataFrame, model: bytes, *, text_col: str = "text", threads: int = 2, check: bool = True) -> DataFrame:
-    """Add ``ids`` (array of int), ``n_tokens``, ``parity`` and, with ``check``, ``round_trip`` to each row.
+def encode(df: DataFrame, model: bytes, *, text_col: str = "text", threads: int = 2) -> DataFrame:
+    """Add ``ids`` (array of int), ``n_tokens``, ``parity`` and ``round_trip`` to each row.
 
-    ``parity``: the SentencePiece library gives the same ids, unit by unit. ``round_trip``: the decoded
-    ids equal the text (of a model that normalises, its normal form need not). A null text has null
+    ``parity``: the SentencePiece library gives the same ids, unit by unit. ``round_trip``: decoded,
+    they give the text, unit by unit (of a model that normalises the text, they need not). A null text has null
     ids, no tokens and true in both; an empty text has no ids. Columns of ``df`` of these names are
     replaced; all others stay. ``model`` is the file's content, of a few MB.
     """
     added = [("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("parity", T.BooleanType()), ("round_trip", T.BooleanType())]
-    added = added if check else added[:-1]
     df = df.drop(*[n for n, _ in added])
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in added]])
     held = df.sparkSession.sparkContext.broadcast(model)
@@ -223,13 +225,10 @@ def encode(df: DataFrame, model: bytes, *, text_col: str = "text", threads: int
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-                ids, bounds, same = codec.encode([t or "" for t in texts])
+                ids, bounds, same, back = codec.encode([t or "" for t in texts])
                 absent = pa.array([t is None for t in texts])
                 offsets = pa.array(bounds.astype(np.int32), mask=np.append(absent.to_numpy(zero_copy_only=False), False))
-                columns = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(np.diff(bounds)), pa.array(same)]
-                if check:
-                    back = codec.decode([ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)])
-                    columns.append(pa.array([a == (b or "") for a, b in zip(back, texts, strict=True)]))
+                columns = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(np.diff(bounds)), pa.array(same), pa.array(back)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *[n for n, _ in added]])
 
     return df.mapInArrow(run, schema)
