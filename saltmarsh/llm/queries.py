@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from saltmarsh.llm._store import new_path
 from saltmarsh.llm.sentencepiece_codec import encoded_documents
 from saltmarsh.llm.sharding import assign_shards
+from saltmarsh.llm.url_filter import judge_urls
 from saltmarsh.llm.warc import read_warc, write_warc
 
 
@@ -38,10 +39,18 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_documents(spark, _table(spark, sf_dir, "documents"))
 
 
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op5_sharding": op5_sharding,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {}
