@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from saltmarsh.llm._store import new_path
 from saltmarsh.llm.sentencepiece_codec import encoded_documents
 from saltmarsh.llm.sharding import assign_shards
+from saltmarsh.llm.toxicity import held_out, score, train
 from saltmarsh.llm.url_filter import judge_urls
 from saltmarsh.llm.warc import read_warc, write_warc
 
@@ -35,6 +36,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), 16)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = train(docs, labels.filter(~held_out()))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_documents(spark, _table(spark, sf_dir, "documents"))
 
@@ -49,6 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op5_sharding": op5_sharding,
+    "op7_toxicity": op7_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filter": op10_url_filter,
 }
