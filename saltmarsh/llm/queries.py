@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saltmarsh.llm import oracles
 from saltmarsh.llm._store import new_path
+from saltmarsh.llm.decontamination import find_contained
 from saltmarsh.llm.html_extract import extract_text
 from saltmarsh.llm.sentencepiece_codec import encoded_documents
 from saltmarsh.llm.sharding import assign_shards
@@ -37,6 +39,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), 16)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = train(docs, labels.filter(~held_out()))
@@ -61,10 +67,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_html_text": op8_html_text,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_decontamination": oracles.OP6,
+}
