@@ -1,4 +1,4 @@
-"""Values of a group for each of its rows, also where one group holds a large part of all rows."""
+"""Values of a group, or of a lookup table, for each row, also where one key holds a large part of all rows."""
 
 from __future__ import annotations
 
@@ -24,3 +24,13 @@ def with_group_values(
     whole = parts.groupBy(*keys).agg(*[_FOLD[kind](name).alias(name) for name, (kind, _) in values.items()], F.collect_set("_salt").alias("_salts"))
     lookup = whole.withColumn("_salt", F.explode("_salts")).drop("_salts")
     return salted.join(lookup, [*keys, "_salt"], "left").drop("_salt")
+
+
+def salted_lookup(df: DataFrame, lookup: DataFrame, key: str, spread_by: list[str], salts: int = 512) -> DataFrame:
+    """Left join with ``lookup`` (one row a key), where a key of ``df`` may hold a large part of its rows.
+
+    The lookup row of a key goes to each (key, salt) piece of ``df`` that has rows, so no task holds a whole key.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    pieces = salted.select(key, "_salt").dropna().distinct()
+    return salted.join(pieces.join(lookup, key), [key, "_salt"], "left").drop("_salt")

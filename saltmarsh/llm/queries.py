@@ -11,6 +11,7 @@ from saltmarsh.llm import oracles
 from saltmarsh.llm._store import new_path
 from saltmarsh.llm.decontamination import find_contained
 from saltmarsh.llm.html_extract import extract_text
+from saltmarsh.llm.ngram_join import ngram_classes
 from saltmarsh.llm.sentencepiece_codec import encoded_documents
 from saltmarsh.llm.sharding import assign_shards
 from saltmarsh.llm.toxicity import held_out, score, train
@@ -22,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_classes(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(_table(spark, sf_dir, "pages"), path, min_bytes=0)
@@ -65,6 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_warc": op3_warc,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
@@ -75,5 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_ngram_join": oracles.OP2,
     "op6_decontamination": oracles.OP6,
 }
