@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from saltmarsh.llm import oracles
 from saltmarsh.llm._store import new_path
 from saltmarsh.llm.decontamination import find_contained
+from saltmarsh.llm.embedding_dedup import embedding_links
 from saltmarsh.llm.html_extract import extract_text
 from saltmarsh.llm.ngram_join import ngram_classes
 from saltmarsh.llm.sentencepiece_codec import encoded_documents
@@ -23,6 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_classes(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -70,6 +75,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op3_warc": op3_warc,
     "op5_sharding": op5_sharding,
