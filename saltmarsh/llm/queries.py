@@ -15,6 +15,7 @@ from saltmarsh.llm.html_extract import extract_text
 from saltmarsh.llm.ngram_join import ngram_classes
 from saltmarsh.llm.sentencepiece_codec import encoded_documents
 from saltmarsh.llm.sharding import assign_shards
+from saltmarsh.llm.substring_dedup import repeated_passages
 from saltmarsh.llm.toxicity import held_out, score, train
 from saltmarsh.llm.url_filter import judge_urls
 from saltmarsh.llm.warc import read_warc, write_warc
@@ -45,6 +46,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), 16)
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op3_warc": op3_warc,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
