@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from saltmarsh.plans import business
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**business.QUERIES}
+ORACLES: dict[str, str] = {**business.ORACLES}
