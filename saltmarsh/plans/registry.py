@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.plans import business
+from saltmarsh.plans import business, text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**business.QUERIES}
-ORACLES: dict[str, str] = {**business.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**business.QUERIES, **text.QUERIES}
+ORACLES: dict[str, str] = {**business.ORACLES, **text.ORACLES}
