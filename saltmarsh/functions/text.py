@@ -25,6 +25,11 @@ DEDUPE_FROM = 40  # characters from which a repeated line goes
 NUMBER = r"\d[\d.,]*\d|\d"
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def strip_think(text: Column) -> Column:
     """What follows the last closing reasoning tag; of a text whose tag isn't closed, what comes before it."""
     closed = F.substring_index(text, "</think>", -1)
@@ -51,7 +56,7 @@ def clean_output(text: Column) -> Column:
     """Remove reasoning (closed, unclosed, orphan tags) and fences, then repeated lines; never empty."""
     for pattern in (r"(?is)<think>.*?</think>", r"(?is)<think>.*$", r"(?is)^.*?</think>", r"```json\s*", "```"):
         text = F.regexp_replace(text, pattern, "")
-    done = F.trim(dedupe_lines(F.regexp_replace(text, r"^\s+|\s+$", "")))
+    done = stripped(dedupe_lines(stripped(text)))
     return F.when(F.coalesce(done, F.lit("")) == "", EMPTY_ANSWER).otherwise(done)
 
 

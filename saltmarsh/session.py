@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def session(name: str = "saltmarsh", master: str | None = None, **conf: str) -> SparkSession:
-    """A session in UTC with ANSI checks and adaptive execution; ``conf`` has further settings, dots as underscores."""
+    """A session in UTC with ANSI checks and adaptive execution; ``conf`` has further settings, _ for each dot."""
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
