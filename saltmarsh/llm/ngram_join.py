@@ -10,8 +10,8 @@ Exact in three steps, none of which compares all pairs of anything:
 2. Of the nodes that meet, each is verified against the smallest one (the pivot) by a prefix-tree join: the sets, in
    global order, form a trie; its paths are walked with the pivot's set, nodes of equal prefixes share the
    overlap counted so far, and a subtree is left as soon as what remains can't reach the required overlap.
-3. Nodes that meet but aren't yet in one class are verified against each other in the same way. Copies
-   and near copies are one class after step 2, so few are left.
+3. Nodes that meet but aren't yet in one class are verified against each other in the same way, many at a time.
+   Copies and most near copies are one class after step 2, so few are left.
 
 Shingle hashes have 64 bits; two different sets are taken for equal with a probability of about n*n / 2**65 for n texts.
 """
@@ -31,6 +31,7 @@ from saltmarsh.llm._salted import salted_lookup
 from saltmarsh.llm._store import stored
 from saltmarsh.llm._text import mix, shingle_set, words_of
 
+BLOCK_NODES = 256  # nodes of one place that are compared at a time, on either side
 BLOCK_BYTES = 4 << 20  # text that is joined with one pivot at a time
 SEEN = 200_000  # nodes of which a task knows that it has dealt them
 SLOTS = 1 << 21  # places of the table that tells most nodes that meet none from the others
@@ -249,6 +250,91 @@ class PrefixTree:
                 yield i, count
 
 
+    def overlaps_many(self, probes: list[np.ndarray], percent: int, cells: int = 1 << 24) -> Iterator[tuple[int, int]]:
+        """(probe, set) of those whose overlap is large enough: the same walk for many probes at once.
+
+        ``hits[d, p]`` is the overlap of the path's first d shingles with probe p; a path is left where no probe can
+        still reach what it needs with the shingles that remain of the set.
+        """
+        known_all = np.unique(np.concatenate(self.sets))
+        places = [np.searchsorted(known_all, s) for s in self.sets]
+        step = max(1, cells // len(known_all))
+        for at in range(0, len(probes), step):
+            some = probes[at : at + step]
+            held = np.zeros((len(known_all), len(some)), np.uint8)
+            for j, probe in enumerate(some):
+                place = np.searchsorted(known_all, probe)
+                place[place == len(known_all)] = 0
+                held[place[known_all[place] == probe], j] = 1
+            sizes = np.array([len(x) for x in some])
+            hits, known = np.zeros((1, len(some)), np.int32), 0
+            for i, shared in zip(self.order, self.shared, strict=True):
+                own, n = places[i], len(self.sets[i])
+                need = -(-percent * (n + sizes) // (100 + percent))
+                fits = np.minimum(n, sizes) >= need
+                depth = min(shared, known)
+                hits = hits[: depth + 1]
+                parts, count = [hits], hits[-1]
+                alive = fits & (count + n - depth >= need)
+                while alive.any() and depth < n:
+                    piece = own[depth : depth + CHUNK]
+                    parts.append(count + np.cumsum(held[piece], axis=0, dtype=np.int32))
+                    count = parts[-1][-1]
+                    depth += len(piece)
+                    alive = fits & (count + n - depth >= need)
+                hits, known = np.concatenate(parts), depth
+                for j in np.flatnonzero(alive & (count >= need)) if depth == n else ():
+                    yield at + int(j), i
+
+
+def _met_unlinked(placed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between nodes that meet in one place and are of two classes.
+
+    placed: (sig, node, pivot, component, pivot_component). Places with one pivot are looked into together, so a node's text
+    goes there once. Nodes that aren't of the pivot's class are probes for the trie of all nodes but the pivot, which each has
+    been verified with. Many nodes are a grid of blocks, and a node goes to each block of its row or column.
+    """
+    others = placed.filter("node <> pivot").select(F.col("pivot").alias("sig"), "node", "component", (F.col("component") != F.col("pivot_component")).alias("rest"))
+    rows = others.distinct()
+    groups = rows.groupBy("sig").agg(F.count_if("rest").alias("nx"), F.count("*").alias("ny")).filter("nx > 0 and ny > 1")
+    blocks = [F.ceil(F.col(n) / BLOCK_NODES).cast("int").alias(m) for n, m in (("nx", "bx"), ("ny", "by"))]
+    members = rows.join(groups.select("sig", *blocks), "sig")
+    numbers = [F.sequence(F.lit(0), F.col(n) - 1) for n in ("bx", "by")]
+    own = [F.pmod(F.xxhash64("node"), n).cast("int") for n in ("bx", "by")]
+    probes = members.filter("rest").select("sig", own[0].alias("i"), F.explode(numbers[1]).alias("j"), F.lit(0).alias("side"), "node", "component")
+    trie = members.select("sig", F.explode(numbers[0]).alias("i"), own[1].alias("j"), F.lit(1).alias("side"), "node", "component")
+    tasks = probes.unionByName(trie).join(texts, "node").select("sig", "i", "j", "side", "node", "component", "text")
+    tasks = tasks.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+        found: list[tuple[int, int]] = []
+
+        def close() -> None:
+            probes, held = sides
+            done = set()
+            if probes and held:
+                for x, y in PrefixTree([s for _, _, s in held]).overlaps_many([s for _, _, s in probes], percent):
+                    (a, ca, _), (b, cb, _) = probes[x], held[y]
+                    if ca != cb and (ca, cb) not in done:  # one link joins two classes
+                        done.add((ca, cb))
+                        found.append((a, b))
+
+        for batch in batches:
+            sig, i, j, side, node, component = (batch.column(c).to_pylist() for c in range(6))
+            for row, s in _sets(batch, 6, k):
+                if (now := (sig[row], i[row], j[row])) != key:
+                    close()
+                    key, sides = now, ([], [])
+                sides[side[row]].append((node[row], component[row], s))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+            found.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return tasks.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes that link. A pivot with many partners is joined with them in blocks."""
     members = pairs.join(texts.withColumnRenamed("node", "b"), "b")
@@ -310,10 +396,7 @@ def ngram_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     pivot_class = classes.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
     placed = of_node.join(pivot_class, "pivot", "left").withColumn("pivot_component", F.coalesce("pivot_component", "pivot"))
     placed = stored(placed, "placed")
-    rest = placed.filter("component <> pivot_component").select("sig", F.col("node").alias("x"), F.col("component").alias("cx"))
-    others = placed.filter("node <> pivot").select("sig", F.col("node").alias("y"), F.col("component").alias("cy"))
-    more = rest.join(others, "sig").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links2 = stored(_verified(more, texts, k, percent), "links")
+    links2 = stored(_met_unlinked(placed, texts, k, percent), "links")
     if links2.take(1):
         classes = stored(components(links.unionByName(links2)), "classes")
 
