@@ -7,6 +7,8 @@ Exact in three steps, none of which compares all pairs of anything:
    Jaccard similarity is high enough differ in d <= m - r shingles, so at least r of m ranges hold the same
    shingles in both. The ranges' signatures are the candidates' meeting places; those that only hold the shingles of a common
    passage are few, as a range is given by all of its shingles.
+   Each node has a sketch: how many of its shingles fall into each of some buckets. Two sets have at most the sum of the
+   smaller counts in common, so pairs whose sketches rule out a link are left before any text is shuffled.
 2. Of the nodes that meet, each is verified against the smallest one (the pivot) by a prefix-tree join: the sets, in
    global order, form a trie; its paths are walked with the pivot's set, nodes of equal prefixes share the
    overlap counted so far, and a subtree is left as soon as what remains can't reach the required overlap.
@@ -36,6 +38,7 @@ BLOCK_BYTES = 4 << 20  # text that is joined with one pivot at a time
 SEEN = 200_000  # nodes of which a task knows that it has dealt them
 SLOTS = 1 << 21  # places of the table that tells most nodes that meet none from the others
 CHUNK = 128  # shingles between two looks at the bound
+BUCKETS = 256  # counters of a node's sketch, at least; a large set has one for each four shingles or fewer
 _ROOT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -68,6 +71,64 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each bucket, counted up to 255; the buckets are a power of two."""
+    width = max(BUCKETS, 1 << max(0, len(shingles) // 4 - 1).bit_length())
+    return np.minimum(np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width), 255).astype(np.uint8).tobytes()
+
+
+def _stacked(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one width as rows, folded to fewer buckets."""
+    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1, width)
+    return rows[:, 0] if rows.shape[1] == 1 else np.minimum(rows.sum(axis=1, dtype=np.int64), 255).astype(np.uint8)
+
+
+def _sized(na: np.ndarray, nb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """What sets of these sizes need to have in common, and whether they can."""
+    need = -(-percent * (na + nb) // (100 + percent))
+    return need, np.minimum(na, nb) >= need
+
+
+def _enough(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
+    common = np.minimum(a, b)  # a bucket that is full on both sides rules nothing out
+    return (common.sum(axis=1, dtype=np.int64) >= need) | (common == 255).any(axis=1)
+
+
+def may_link(a: list[bytes], na: np.ndarray, b: list[bytes], nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of sets with these sketches and sizes may be alike enough."""
+    need, out = _sized(na, nb, percent)
+    widths = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for wa, wb in np.unique(widths[out], axis=0):
+        at = np.flatnonzero(out & (widths == (wa, wb)).all(axis=1))
+        for some in np.array_split(at, len(at) // 512 + 1):
+            x, y = (_stacked([side[i] for i in some], min(wa, wb)) for side in (a, b))
+            out[some] = _enough(x, y, need[some])
+    return out
+
+
+class SketchIndex:
+    """Sketches that many others are held against."""
+
+    def __init__(self, sketches: list[bytes], sizes: np.ndarray, percent: int):
+        self.sketches, self.sizes, self.percent = sketches, sizes, percent
+        widths = np.array([len(x) for x in sketches])
+        self.rows = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def candidates(self, probe: bytes, size: int, wanted: np.ndarray) -> np.ndarray:
+        """Places of those ``wanted`` that may link with the probe."""
+        need, fits = _sized(self.sizes, np.int64(size), self.percent)
+        fits &= wanted
+        found = []
+        for w, rows in self.rows.items():
+            if len(pick := np.flatnonzero(fits[rows])):
+                width = min(w, len(probe))
+                if (w, width) not in self.folded:
+                    self.folded[w, width] = _stacked([self.sketches[i] for i in rows], width)
+                found.append(rows[pick][_enough(_stacked([probe], width), self.folded[w, width][pick], need[rows[pick]])])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def signatures(shingles: np.ndarray, c: int, m: int, r: int) -> np.ndarray:
     """Signatures of the ranges of a set, for pairs of class c.
 
@@ -182,7 +243,7 @@ def _meetings(dealt: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, k: int, text_col: str) -> DataFrame:
-    """(node, text) of the given nodes: one of the node's texts."""
+    """(node, text, n, sketch) of the given nodes: one of the node's texts, the size and the sketch of its set."""
     slots = nodes.select(F.pmod("node", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()  # SLOTS rows at most
     table = np.zeros(SLOTS, bool)
     table[slots.column("slot").to_numpy()] = True
@@ -191,7 +252,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, k: int, text_col: str) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = held.value, set()
         for batch in batches:
-            rows, found = [], []
+            rows, found, sizes, sketches = [], [], [], []
             for i, s in _sets(batch, 0, k):
                 if len(s) and table[(node := fingerprint(s)) % SLOTS] and node not in seen:
                     if len(seen) >= SEEN:
@@ -199,10 +260,30 @@ def _texts(docs: DataFrame, nodes: DataFrame, k: int, text_col: str) -> DataFram
                     seen.add(node)
                     rows.append(i)
                     found.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64())).cast(pa.string())], names=["node", "text"])
+                    sizes.append(len(s))
+                    sketches.append(sketch(s))
+            texts = batch.column(0).take(pa.array(rows, pa.int64())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), texts, pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=["node", "text", "n", "sketch"])
+
+    some = docs.select(text_col).mapInArrow(run, "node long, text string, n long, sketch binary")
+    return some.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+
+
+def _plausible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sketches allow for a link."""
+
+    def side(name: str) -> DataFrame:
+        return texts.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
 
-    some = docs.select(text_col).mapInArrow(run, "node long, text string")
-    return some.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    both = salted_lookup(pairs, side("a"), "a", ["b"]).join(side("b"), "b")  # a pivot may have many partners
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            keep = pa.array(may_link(batch.column(4).to_pylist(), na, batch.column(5).to_pylist(), nb, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 class PrefixTree:
@@ -287,24 +368,68 @@ class PrefixTree:
                     yield at + int(j), i
 
 
-def _met_unlinked(placed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between nodes that meet in one place and are of two classes.
+def _grid(rows: DataFrame, payload: DataFrame) -> DataFrame:
+    """(sig, i, j, side, node, component and the payload's columns), sorted by cells of a grid for each sig.
 
-    placed: (sig, node, pivot, component, pivot_component). Places with one pivot are looked into together, so a node's text
-    goes there once. Nodes that aren't of the pivot's class are probes for the trie of all nodes but the pivot, which each has
-    been verified with. Many nodes are a grid of blocks, and a node goes to each block of its row or column.
+    rows: (sig, node, component, rest). Nodes with ``rest`` are dealt to the grid's rows (side 0), all nodes to its columns (side 1), and each
+    goes to all cells of its row or column. Where no node is ``rest`` or there is one node only, nothing is to be compared.
     """
-    others = placed.filter("node <> pivot").select(F.col("pivot").alias("sig"), "node", "component", (F.col("component") != F.col("pivot_component")).alias("rest"))
-    rows = others.distinct()
     groups = rows.groupBy("sig").agg(F.count_if("rest").alias("nx"), F.count("*").alias("ny")).filter("nx > 0 and ny > 1")
     blocks = [F.ceil(F.col(n) / BLOCK_NODES).cast("int").alias(m) for n, m in (("nx", "bx"), ("ny", "by"))]
     members = rows.join(groups.select("sig", *blocks), "sig")
     numbers = [F.sequence(F.lit(0), F.col(n) - 1) for n in ("bx", "by")]
     own = [F.pmod(F.xxhash64("node"), n).cast("int") for n in ("bx", "by")]
     probes = members.filter("rest").select("sig", own[0].alias("i"), F.explode(numbers[1]).alias("j"), F.lit(0).alias("side"), "node", "component")
-    trie = members.select("sig", F.explode(numbers[0]).alias("i"), own[1].alias("j"), F.lit(1).alias("side"), "node", "component")
-    tasks = probes.unionByName(trie).join(texts, "node").select("sig", "i", "j", "side", "node", "component", "text")
-    tasks = tasks.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side")
+    held = members.select("sig", F.explode(numbers[0]).alias("i"), own[1].alias("j"), F.lit(1).alias("side"), "node", "component")
+    cells = probes.unionByName(held).join(payload, "node").select("sig", "i", "j", "side", "node", "component", *[c for c in payload.columns if c != "node"])
+    return cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side")
+
+
+def _hopeful(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of the rows (sig, node, component, rest) that another class's node of the place may link with, by the sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+        found: set[tuple[int, int]] = set()
+
+        def close() -> None:
+            if sides[0] and sides[1]:
+                node, component, sizes, sketches = zip(*sides[1], strict=True)
+                node, component = np.array(node), np.array(component)
+                index = SketchIndex(list(sketches), np.array(sizes), percent)
+                for x, own, size, probe in sides[0]:
+                    if len(at := index.candidates(probe, size, component != own)):
+                        found.update((key[0], int(v)) for v in [x, *node[at]])
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], pa.int64()) for c in (0, 1)], names=["sig", "node"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            for sig, i, j, side, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (sig, i, j) != key:
+                    close()
+                    key, sides = (sig, i, j), ([], [])
+                sides[side].append(row)
+            yield told()
+        close()
+        yield told()
+
+    some = _grid(rows, texts.select("node", "n", "sketch")).mapInArrow(run, "sig long, node long")
+    return rows.join(some.distinct(), ["sig", "node"], "left_semi")
+
+
+def _met_unlinked(placed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between nodes that meet in one place and are of two classes.
+
+    placed: (sig, node, pivot, component, pivot_component). Places with one pivot are looked into together, so a node's text
+    goes there once. Nodes that aren't of the pivot's class are probes for the trie of all nodes but the pivot, which each has
+    been verified with. Only nodes whose sketches leave a chance take their texts along.
+    """
+    others = placed.filter("node <> pivot").select(F.col("pivot").alias("sig"), "node", "component", (F.col("component") != F.col("pivot_component")).alias("rest"))
+    rows = stored(_hopeful(others.distinct(), texts, percent), "hopeful")
+    tasks = _grid(rows, texts.select("node", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sides = None, ([], [])
@@ -388,7 +513,8 @@ def ngram_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     involved = stored(met.select("node").distinct(), "involved")
     texts = stored(_texts(docs, involved, k, text_col), "texts")
     first = met.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_verified(first, texts, k, percent), "links")
+    first = stored(_plausible(first, texts, percent), "pairs")
+    links = stored(_verified(first, texts.select("node", "text"), k, percent), "links")
     classes = stored(components(links), "classes")
 
     # Those that meet in one place and aren't in one class yet.

@@ -120,6 +120,21 @@ def test_signatures_meet():
             assert set(N.signatures(a, k, m, spare).tolist()) & set(N.signatures(b, k, m, spare).tolist())
 
 
+def test_sketches_rule_out_no_link():
+    r = np.random.default_rng(5)
+    for size in (2, 9, 300, 5_000, 60_000):
+        for changed in (0.0, 0.05, 0.1, 0.3, 1.0):
+            a = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[int(changed * len(a)) :], r.integers(0, 1 << 63, int(changed * len(a)), dtype=np.uint64)]))
+            common, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+            may = bool(N.may_link([N.sketch(a)], np.array([len(a)]), [N.sketch(b)], np.array([len(b)]), 80)[0])
+            assert may or 100 * common < 80 * union
+            index = N.SketchIndex([N.sketch(b[:1]), N.sketch(b), N.sketch(b)], np.array([1, len(b), len(b)]), 80)
+            assert (1 in index.candidates(N.sketch(a), len(a), np.array([True, True, False]))) == may
+            if size >= 300 and changed == 1.0:
+                assert not may
+
+
 def test_prefix_tree():
     r = np.random.default_rng(2)
     universe = np.sort(r.integers(0, 2**64, 600, dtype=np.uint64))
