@@ -34,6 +34,7 @@ from saltmarsh.llm._store import stored
 from saltmarsh.llm._text import mix, shingle_set, words_of
 
 BLOCK_NODES = 256  # nodes of one place that are compared at a time, on either side
+BLOCK_SKETCHES = 2048  # the same, of sketches
 BLOCK_BYTES = 4 << 20  # text that is joined with one pivot at a time
 SEEN = 200_000  # nodes of which a task knows that it has dealt them
 SLOTS = 1 << 21  # places of the table that tells most nodes that meet none from the others
@@ -368,14 +369,14 @@ class PrefixTree:
                     yield at + int(j), i
 
 
-def _grid(rows: DataFrame, payload: DataFrame) -> DataFrame:
+def _grid(rows: DataFrame, payload: DataFrame, block: int) -> DataFrame:
     """(sig, i, j, side, node, component and the payload's columns), sorted by cells of a grid for each sig.
 
     rows: (sig, node, component, rest). Nodes with ``rest`` are dealt to the grid's rows (side 0), all nodes to its columns (side 1), and each
     goes to all cells of its row or column. Where no node is ``rest`` or there is one node only, nothing is to be compared.
     """
     groups = rows.groupBy("sig").agg(F.count_if("rest").alias("nx"), F.count("*").alias("ny")).filter("nx > 0 and ny > 1")
-    blocks = [F.ceil(F.col(n) / BLOCK_NODES).cast("int").alias(m) for n, m in (("nx", "bx"), ("ny", "by"))]
+    blocks = [F.ceil(F.col(n) / block).cast("int").alias(m) for n, m in (("nx", "bx"), ("ny", "by"))]
     members = rows.join(groups.select("sig", *blocks), "sig")
     numbers = [F.sequence(F.lit(0), F.col(n) - 1) for n in ("bx", "by")]
     own = [F.pmod(F.xxhash64("node"), n).cast("int") for n in ("bx", "by")]
@@ -416,20 +417,25 @@ def _hopeful(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         close()
         yield told()
 
-    some = _grid(rows, texts.select("node", "n", "sketch")).mapInArrow(run, "sig long, node long")
+    some = _grid(rows, texts.select("node", "n", "sketch"), BLOCK_SKETCHES).mapInArrow(run, "sig long, node long")
     return rows.join(some.distinct(), ["sig", "node"], "left_semi")
 
 
 def _met_unlinked(placed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes that meet in one place and are of two classes.
 
-    placed: (sig, node, pivot, component, pivot_component). Places with one pivot are looked into together, so a node's text
-    goes there once. Nodes that aren't of the pivot's class are probes for the trie of all nodes but the pivot, which each has
-    been verified with. Only nodes whose sketches leave a chance take their texts along.
+    placed: (sig, node, pivot, component, pivot_component). Nodes that aren't of the pivot's class are probes for all nodes of
+    the place but the pivot, which each has been verified with: first for their sketches, place by place, where of places with the same nodes
+    one is enough. Nodes that these leave a chance are then looked into by pivot, so a node's text goes to a pivot once.
     """
-    others = placed.filter("node <> pivot").select(F.col("pivot").alias("sig"), "node", "component", (F.col("component") != F.col("pivot_component")).alias("rest"))
-    rows = stored(_hopeful(others.distinct(), texts, percent), "hopeful")
-    tasks = _grid(rows, texts.select("node", "text"))
+    rest = F.col("component") != F.col("pivot_component")
+    others = placed.filter("node <> pivot").select("sig", "pivot", "node", "component", rest.alias("rest"))
+    hashes = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"h{i}") for i in (1, 2)]
+    places = others.groupBy("sig").agg(F.count_if("rest").alias("nx"), F.count("*").alias("ny"), *hashes).filter("nx > 0 and ny > 1")
+    places = places.groupBy("h1", "h2", "ny").agg(F.min("sig").alias("sig")).select("sig")
+    rows = stored(others.join(places, "sig", "left_semi"), "unlinked")
+    hopeful = _hopeful(rows, texts, percent).select(F.col("pivot").alias("sig"), "node", "component", "rest").distinct()
+    tasks = _grid(stored(hopeful, "hopeful"), texts.select("node", "text"), BLOCK_NODES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sides = None, ([], [])
