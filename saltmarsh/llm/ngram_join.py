@@ -34,7 +34,7 @@ from saltmarsh.llm._store import stored
 from saltmarsh.llm._text import mix, shingle_set, words_of
 
 BLOCK_NODES = 256  # nodes of one place that are compared at a time, on either side
-BLOCK_SKETCHES = 2048  # the same, of sketches
+BLOCK_SKETCHES = 512  # the same, of sketches
 BLOCK_BYTES = 4 << 20  # text that is joined with one pivot at a time
 SEEN = 200_000  # nodes of which a task knows that it has dealt them
 SLOTS = 1 << 21  # places of the table that tells most nodes that meet none from the others
@@ -81,7 +81,7 @@ def sketch(shingles: np.ndarray) -> bytes:
 def _stacked(sketches: list[bytes], width: int) -> np.ndarray:
     """Sketches of one width as rows, folded to fewer buckets."""
     rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1, width)
-    return rows[:, 0] if rows.shape[1] == 1 else np.minimum(rows.sum(axis=1, dtype=np.int64), 255).astype(np.uint8)
+    return rows[:, 0] if rows.shape[1] == 1 else np.minimum(rows.sum(axis=1, dtype=np.uint32), 255).astype(np.uint8)
 
 
 def _sized(na: np.ndarray, nb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:

@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNITS = 600_000  # units that a task keeps encoded
-SLICE = 1024  # rows that are encoded at a time
+UNITS = 200_000  # units that a task keeps encoded
+SLICE = 256  # rows that are encoded at a time
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
