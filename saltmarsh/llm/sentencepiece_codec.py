@@ -210,7 +210,7 @@ def encode(df: DataFrame, model: bytes, *, text_col: str = "text", threads: int
     """Add ``ids`` (array of int), ``n_tokens``, ``parity`` and ``round_trip`` to each row.
 
     ``parity``: the SentencePiece library gives the same ids, unit by unit. ``round_trip``: decoded,
-    they give the text, unit by unit (of a model that normalises the text, they need not). A null text has null
+    they give the text, unit by unit (of a model that normalises the text, or of a text with the marker U+2581 itself, they need not). A null text has null
     ids, no tokens and true in both; an empty text has no ids. Columns of ``df`` of these names are
     replaced; all others stay. ``model`` is the file's content, of a few MB.
     """

@@ -181,9 +181,9 @@ def test_sentencepiece(spark):
     df = docs.unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")).withColumn("ids", F.lit(1))
     coded = C.encode(df, data).cache()
     for r in C.decode(coded, data).collect():
-        assert r.parity and r.round_trip
+        assert r.parity and r.round_trip == ("▁" not in (r.text or ""))  # the marker itself is decoded as a space, as SentencePiece does
         assert r.ids == (None if r.text is None else reference.encode(r.text)) and r.n_tokens == len(r.ids or [])
-        assert r.decoded == r.text
+        assert r.decoded == (None if r.text is None else r.text.replace("▁", " "))
     assert C.encode(df.limit(0), data).count() == 0
 
 
