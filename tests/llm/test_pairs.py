@@ -288,3 +288,17 @@ def test_fuzzy_passage(spark):
     df = spark.createDataFrame([(1, " ".join(p)), (2, " ".join([f"x{r.random()}"] * 3 + changed))], DOC)
     (f,) = S.repeated_passages(df).collect()
     assert (f.doc_id, f.src_id, f.start_word, f.end_word, f.src_start, f.src_end, f.n_same) == (2, 1, 3, 82, 0, 80, 78)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 101])
+@pytest.mark.parametrize("batch", ["2", "10000"])
+def test_exact_passage_behind_a_quote(spark, parts, batch):
+    p, odd = [f"p{i}" for i in range(60)], lambda d, n: [f"d{d}x{i}" for i in range(n)]
+    texts = {1: [*odd(1, 20), *p, *odd(-1, 20)], 100: [*odd(100, 20), *p[:36], *odd(-100, 20)], 101: [*odd(101, 20), *p, *odd(-101, 20)]}
+    df = spark.createDataFrame([(d, " ".join(texts.get(d, odd(d, 30)))) for d in range(1, 102)], DOC).repartitionByRange(parts, "doc_id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = S.repeated_passages(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {j for f in found if f.doc_id == 101 for j in range(f.start_word, f.end_word)} == set(range(20, 80))
