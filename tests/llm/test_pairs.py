@@ -302,3 +302,21 @@ def test_exact_passage_behind_a_quote(spark, parts, batch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {j for f in found if f.doc_id == 101 for j in range(f.start_word, f.end_word)} == set(range(20, 80))
+
+
+def test_parts_of_a_chain(spark):
+    w, z = [f"w{i}" for i in range(140)], [f"z{i}" for i in range(140)]
+    for kept in ([(0, 60), (85, 101)], [(0, 55), (85, 140)]):
+        n = kept[-1][1]
+        b = [w[i] if any(x <= i < y for x, y in kept) else z[i] for i in range(n)]
+        found = S.repeated_passages(spark.createDataFrame([(1, " ".join(w[:n])), (2, " ".join(b))], DOC)).collect()
+        long = {j for x, y in kept if y - x >= 50 for j in range(x, y)}
+        assert long <= {j for f in found for j in range(f.start_word, f.end_word)}
+        assert all(100 * f.n_same >= 80 * max(f.end_word - f.start_word, f.src_end - f.src_start) for f in found)
+
+
+def test_chains_in_order_are_scored_too():
+    pos = np.array([0, 1, 2, 90, 91, 200])
+    got = list(S.chains(pos, pos + 7, 5, 0.1, 10**6))
+    score = max(5 * len(c) - 0.1 * 2 * (pos[c[-1]] - pos[c[0]]) for c in got)
+    assert score == pytest.approx(max(quadratic_chains(pos, pos + 7, 5, 0.1)))
