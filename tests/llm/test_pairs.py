@@ -320,3 +320,11 @@ def test_chains_in_order_are_scored_too():
     got = list(S.chains(pos, pos + 7, 5, 0.1, 10**6))
     score = max(5 * len(c) - 0.1 * 2 * (pos[c[-1]] - pos[c[0]]) for c in got)
     assert score == pytest.approx(max(quadratic_chains(pos, pos + 7, 5, 0.1)))
+
+
+def test_passage_three_times_in_one_document(spark):
+    p = [f"p{i}" for i in range(60)]
+    odd = lambda d: [f"{d}x{i}" for i in range(30)]
+    b = [*odd("a"), *p, *odd("b"), *p, *odd("c"), *p, *odd("d")]
+    found = S.repeated_passages(spark.createDataFrame([(1, " ".join([*odd("e"), *p])), (2, " ".join(b))], DOC)).collect()
+    assert {j for f in found for j in range(f.start_word, f.end_word)} == {i for i, x in enumerate(b) if x[0] == "p"}
