@@ -26,7 +26,8 @@ BLOCKS = frozenset(
     h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre search section select summary
     table tbody td tfoot th thead tr ul caption""".split()
 )
-RAW = frozenset("script style template title textarea noscript iframe noembed noframes xmp svg math object canvas audio video head".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())  # text up to their end tag
+HIDDEN = frozenset("template noscript svg object canvas audio video".split())  # left out with what is in them; they end with their parent at the latest
 #: An element of the key ends these open ones, if none of the last ones stands between.
 ENDS = {
     "li": ({"li", "p"}, {"ul", "ol", "menu"}),
@@ -82,6 +83,25 @@ class Page:
         linked = 0
         link: int | None = None  # the block in which a link is open
         at = 0
+        hidden: list[str] = []  # the open hidden element, and the blocks and hidden ones in it
+
+        def shown(tag: str, closing: str) -> bool:
+            """Whether a tag in a hidden element ends it and counts as one behind it; otherwise keeps account of it."""
+            if closing:
+                if tag in hidden:
+                    del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+                    return False
+                return tag in ("body", "html") or tag in BLOCKS and any(tags[k] == tag for k in stack[1:])
+            if hidden[-1] == "svg" and tag in BLOCKS:  # no svg holds one
+                del hidden[-1]
+                return not hidden or shown(tag, closing)
+            ended, fences = ENDS.get(tag, ((), ()))
+            for name in [*hidden[:0:-1], *(tags[k] for k in stack[:0:-1])] if ended else ():
+                if name in fences:
+                    break
+                if name in ended:
+                    return not any(x in ended for x in hidden)
+            return False
 
         def end_run() -> None:
             nonlocal linked
@@ -103,16 +123,22 @@ class Page:
         tags, found = self.tags, TAG.search(source)
         while found:
             if found.start() > at:
-                run.append(text := source[at : found.start()])
-                if link is not None:
-                    linked += len(text)
+                if not hidden:
+                    run.append(text := source[at : found.start()])
+                    if link is not None:
+                        linked += len(text)
             at = found.end()
             tag = found[2] or found[5]
             if tag:
                 tag, closing, attributes = tag.lower(), found[1] or found[4], found[3] or found[6] or ""
+                if hidden and shown(tag, closing):
+                    hidden.clear()
                 if tag in RAW and not closing and not attributes.endswith("/"):
                     end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                     at = end.end() if end else len(source)
+                elif hidden or tag in HIDDEN:
+                    if not closing and not attributes.endswith("/") and (tag in HIDDEN or tag in BLOCKS or tag == "foreignobject"):
+                        hidden.append(tag)
                 elif tag == "br":
                     run.append(" ")
                 elif tag == "hr":
@@ -145,7 +171,7 @@ class Page:
                         pop_to(cut)
                         self._open(tag, attributes, stack)
             found = TAG.search(source, at)
-        if at < len(source):
+        if at < len(source) and not hidden:
             run.append(source[at:])
             if link is not None:
                 linked += len(source) - at

@@ -236,3 +236,20 @@ def test_pipeline_stages(spark):
     rows = kept.collect()
     sets = {r.doc_id: r for r in rows}
     assert len(sets) == len(rows) and all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_html_without_end_tags():
+    from saltmarsh.llm.html_extract import Page
+
+    def text(page):
+        return " ".join(t for _, t in Page(page).segments)
+
+    assert text("<html><head><title>t</title><meta charset=x><body><article><p>Some text.</p></article>") == "Some text."
+    assert text("<html><head><style>a{}</style><article><p>Some text.</p></article>") == "Some text."
+    for tag in ("object", "video", "canvas", "svg", "noscript", "audio", "template"):
+        assert text(f"<body><div><p>one</p><{tag}><i>no</i></div><p>two</p>") == "one two"
+        assert text(f"<body><p>one <{tag}><i>no</i></{tag}>two</p>") == "one two"
+        assert text(f"<table><tr><td>one<{tag}>no<td>two</table><p>three") == "one two three"
+    assert text("<p>one<svg><g>no<p>two") == "one two"
+    assert text("<object>no<div>no</div>no<object>no</object>no</object>two") == "two"
+    assert text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p></article>") == "Let x=2 be."
