@@ -328,3 +328,17 @@ def test_passage_three_times_in_one_document(spark):
     b = [*odd("a"), *p, *odd("b"), *p, *odd("c"), *p, *odd("d")]
     found = S.repeated_passages(spark.createDataFrame([(1, " ".join([*odd("e"), *p])), (2, " ".join(b))], DOC)).collect()
     assert {j for f in found for j in range(f.start_word, f.end_word)} == {i for i, x in enumerate(b) if x[0] == "p"}
+
+
+def test_recall_of_changed_passages(spark):
+    rows, n = [], 40
+    for step in (6, 8, 10, 12):
+        for i in range(n):
+            at = 1000 * step + 2 * i
+            p = [f"s{at}w{j}" for j in range(60 + i)]
+            changed = [f"c{at}w{j}" if j % step == step - 1 else x for j, x in enumerate(p)]
+            odd = [[f"o{at + e}w{j}" for j in range(20)] for e in (0, 1)]
+            rows += [(at, " ".join(odd[0] + p)), (at + 1, " ".join(odd[1] + changed))]
+    found = {f.doc_id for f in S.repeated_passages(spark.createDataFrame(rows, DOC)).collect()}
+    for step in (6, 8, 10, 12):
+        assert sum(1000 * step + 2 * i + 1 in found for i in range(n)) == n
