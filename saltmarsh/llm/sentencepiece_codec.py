@@ -7,29 +7,36 @@ ordered by score) and byte fallback.
 
 No piece of a usual model has the white space marker behind another character, so a merge never
 crosses from a character to a marker behind it. A text is then encoded in units of a run of spaces
-and the characters up to the next one; equal units of a task are encoded once, in multithreaded
-batches, decoded again, and compared with what the SentencePiece library gives. Where a model has such pieces,
-or isn't BPE, the unit is the whole text.
+and the characters up to the next one; equal units are encoded once for many texts, in multithreaded
+batches, and compared with what the SentencePiece library gives for them. Where a model has such pieces,
+or isn't BPE, the unit is the whole text. A text's ids are decoded as a whole.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from saltmarsh.llm._text import text_buffers
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNITS = 200_000  # units that a task keeps encoded
-SLICE = 256  # rows that are encoded at a time
+UNITS = 400_000  # units that a task keeps encoded; beyond it, those of the texts at hand
+SLICE = 4 << 20  # bytes of text that are encoded at a time, or one text
+ROWS = 256  # rows that are decoded at a time
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -146,48 +153,74 @@ class Codec:
         self.tokenizer = build(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_units = self.model.by_units
-        self._forget()
-
-    def _forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.same, self.back = np.zeros(0, bool), np.zeros(0, bool)
+        self.ids, self.starts, self.sizes, self.same = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _keep(self, units: list[str], places: np.ndarray) -> None:
+        """Keep only these encoded units."""
+        counts = self.sizes[places]
+        ends = np.cumsum(counts)
+        self.ids = self.ids[np.arange(counts.sum()) + np.repeat(self.starts[places] - ends + counts, counts)]
+        self.starts, self.sizes, self.same = ends - counts, counts, self.same[places]
+        self.index = dict(zip(units, range(len(units)), strict=True))
 
     def _learn(self, units: list[str]) -> None:
         """Encode new units. One begins with a space, which the prepended marker stands for."""
         texts = [x[1:] for x in units] if self.by_units else units
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        expected = self.reference.encode(texts, num_threads=1)
+        same = [got == want or (self.by_units and not t) for got, want, t in zip(found, expected, texts, strict=True)]
+        self.same = np.append(self.same, np.array(same, bool))
         if self.by_units:  # the marker isn't prepended to an empty text
             lone = self.tokenizer.token_to_id(MARK)
             found = [x if t else [lone] for x, t in zip(found, texts, strict=True)]
-        expected = self.reference.encode(texts, num_threads=1)
         self.index.update(zip(units, range(len(self.index), len(self.index) + len(units)), strict=True))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
         self.sizes = np.append(self.sizes, sizes)
-        self.ids = np.append(self.ids, np.fromiter((i for x in found for i in x), np.int32))
-        same = [got == want or (self.by_units and not t) for got, want, t in zip(found, expected, texts, strict=True)]
-        self.same = np.append(self.same, same)
-        self.back = np.append(self.back, [a == b for a, b in zip(self.decode(found), texts, strict=True)])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, the bounds of each text's ids, whether each equals what SentencePiece gives, and whether it decodes to the text."""
-        if len(self.index) > UNITS:
-            self._forget()
-        split = re.compile(" +[^ ]*").findall if self.by_units else lambda x: [x[1:]] if len(x) > 1 else []
-        units = [split(" " + x) if x else [] for x in texts]
-        new = {u for row in units for u in row if u not in self.index}
-        if new:
-            self._learn(list(new))
-        index = self.index
-        at = np.fromiter((index[u] for row in units for u in row), np.int64)
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), np.int32))
+
+    def _units(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct units, which of them stand in the texts one after the other, and the bounds of each text's."""
+        space, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+        full = pc.not_equal(pc.binary_length(texts), 0)
+        if not self.by_units:
+            found = texts.filter(full).dictionary_encode()
+            return found.dictionary.to_pylist(), found.indices.to_numpy(), np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+        data, offsets = text_buffers(pc.if_else(full, pc.binary_join_element_wise(space, texts, none), none))
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        is_space = data == 32
+        begins = is_space.copy()
+        begins[1:] &= ~is_space[:-1]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(begins)
+        cuts = np.append(starts, len(data))
+        found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+        return found.dictionary.to_pylist(), found.indices.to_numpy(), np.searchsorted(starts, offsets)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the bounds of each text's ids, whether each unit's equal what SentencePiece gives, and whether they decode to the text."""
+        column = column.cast(pa.large_string())
+        units, which, rows = self._units(column)
+        places = np.fromiter(map(self.index.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            if len(self.index) + len(new) > UNITS:  # those of these texts stay
+                old = np.flatnonzero(places >= 0)
+                self._keep([units[i] for i in old], places[old])
+                places[old] = np.arange(len(old))
+            places[new] = len(self.index) + np.arange(len(new))
+            self._learn([units[i] for i in new])
+        at = places[which]
         counts = self.sizes[at]
         ends = np.cumsum(counts)
-        place = np.arange(counts.sum()) + np.repeat(self.starts[at] - ends + counts, counts)
-        rows = np.cumsum([0, *map(len, units)])
+        ids = self.ids[np.arange(counts.sum()) + np.repeat(self.starts[at] - ends + counts, counts)]
         bounds = np.append(0, ends)[rows]
-        odd, lost = (np.append(0, np.cumsum(~x[at])) for x in (self.same, self.back))
-        return self.ids[place], bounds, odd[rows[1:]] == odd[rows[:-1]], lost[rows[1:]] == lost[rows[:-1]]
+        odd = np.append(0, np.cumsum(~self.same[at]))[rows]
+        flat, cuts = ids.tolist(), bounds.tolist()
+        decoded = self.decode([flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        back = np.fromiter((a == b for a, b in zip(decoded, column.to_pylist(), strict=True)), bool, len(decoded))
+        return ids, bounds, odd[1:] == odd[:-1], back
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -201,6 +234,16 @@ def model_bytes(spark: SparkSession, path: str = MODEL) -> bytes:
         return f.read()
 
 
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Without the search for reference cycles, which many small lists set off again and again and which finds none."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 @lru_cache(2)
 def _codec(data: bytes, threads: int) -> Codec:
     return Codec(data, threads)
@@ -209,9 +252,9 @@ def _codec(data: bytes, threads: int) -> Codec:
 def encode(df: DataFrame, model: bytes, *, text_col: str = "text", threads: int = 2) -> DataFrame:
     """Add ``ids`` (array of int), ``n_tokens``, ``parity`` and ``round_trip`` to each row.
 
-    ``parity``: the SentencePiece library gives the same ids, unit by unit. ``round_trip``: decoded,
-    they give the text, unit by unit (of a model that normalises the text, or of a text with the marker U+2581 itself, they need not). A null text has null
-    ids, no tokens and true in both; an empty text has no ids. Columns of ``df`` of these names are
+    ``parity``: the SentencePiece library gives the same ids, unit by unit. ``round_trip``: decoded as a whole,
+    they give the text (of a model that normalises the text, or of a text with the marker U+2581 itself, they need not). A null text has null
+    ids, no tokens and true in both; an empty text has no ids; a very long text is encoded whole. Rows that repeat stay. Columns of ``df`` of these names are
     replaced; all others stay. ``model`` is the file's content, of a few MB.
     """
     added = [("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("parity", T.BooleanType()), ("round_trip", T.BooleanType())]
@@ -222,12 +265,14 @@ def encode(df: DataFrame, model: bytes, *, text_col: str = "text", threads: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(held.value, threads)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-                ids, bounds, same, back = codec.encode([t or "" for t in texts])
-                absent = pa.array([t is None for t in texts])
-                offsets = pa.array(bounds.astype(np.int32), mask=np.append(absent.to_numpy(zero_copy_only=False), False))
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text_col))), 0).to_numpy().astype(np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE, prepend=-1, append=-1))
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(at, end - at)
+                texts = part.column(part.schema.get_field_index(text_col))
+                with _no_cycles():
+                    ids, bounds, same, back = codec.encode(pc.fill_null(texts, ""))
+                offsets = pa.array(bounds.astype(np.int32), mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False))
                 columns = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(np.diff(bounds)), pa.array(same), pa.array(back)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *[n for n, _ in added]])
 
@@ -243,8 +288,8 @@ def decode(df: DataFrame, model: bytes, *, ids_col: str = "ids", out_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(held.value, 2)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 ids = part.column(part.schema.get_field_index(ids_col)).to_pylist()
                 texts = codec.decode([[i for i in x or [] if i is not None] for x in ids])
                 texts = [None if x is None else t for x, t in zip(ids, texts, strict=True)]
