@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from saltmarsh.llm._graph import components
 from saltmarsh.llm._salted import salted_lookup
-from saltmarsh.llm._store import stored
+from saltmarsh.llm._store import dropped, stored
 from saltmarsh.llm._text import mix, shingle_set, words_of
 
 BLOCK_NODES = 256  # nodes of one place that are compared at a time, on either side
@@ -422,20 +422,20 @@ def _hopeful(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _met_unlinked(placed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between nodes that meet in one place and are of two classes.
+    """Links (a, b), stored, between nodes that meet in one place and are of two classes.
 
-    placed: (sig, node, pivot, component, pivot_component). Nodes that aren't of the pivot's class are probes for all nodes of
+    placed: (sig, pivot, node, component, rest) without the pivots themselves. Nodes that aren't of the pivot's class (``rest``) are probes for all nodes of
     the place but the pivot, which each has been verified with: first for their sketches, place by place, where of places with the same nodes
     one is enough. Nodes that these leave a chance are then looked into by pivot, so a node's text goes to a pivot once.
     """
-    rest = F.col("component") != F.col("pivot_component")
-    others = placed.filter("node <> pivot").select("sig", "pivot", "node", "component", rest.alias("rest"))
     hashes = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"h{i}") for i in (1, 2)]
-    places = others.groupBy("sig").agg(F.count_if("rest").alias("nx"), F.count("*").alias("ny"), *hashes).filter("nx > 0 and ny > 1")
+    places = placed.groupBy("sig").agg(F.count_if("rest").alias("nx"), F.count("*").alias("ny"), *hashes).filter("nx > 0 and ny > 1")
     places = places.groupBy("h1", "h2", "ny").agg(F.min("sig").alias("sig")).select("sig")
-    rows = stored(others.join(places, "sig", "left_semi"), "unlinked")
+    rows = stored(placed.join(places, "sig", "left_semi"), "unlinked")
     hopeful = _hopeful(rows, texts, percent).select(F.col("pivot").alias("sig"), "node", "component", "rest").distinct()
-    tasks = _grid(stored(hopeful, "hopeful"), texts.select("node", "text"), BLOCK_NODES)
+    hopeful = stored(hopeful, "hopeful")
+    dropped(rows)
+    tasks = _grid(hopeful, texts.select("node", "text"), BLOCK_NODES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sides = None, ([], [])
@@ -463,7 +463,9 @@ def _met_unlinked(placed: DataFrame, texts: DataFrame, k: int, percent: int) ->
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return tasks.mapInArrow(run, "a long, b long")
+    links = stored(tasks.mapInArrow(run, "a long, b long"), "links")
+    dropped(hopeful)
+    return links
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -518,19 +520,27 @@ def ngram_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     met = stored(_meetings(_dealt(docs, k, percent, text_col)), "met")
     involved = stored(met.select("node").distinct(), "involved")
     texts = stored(_texts(docs, involved, k, text_col), "texts")
+    dropped(involved)
     first = met.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     first = stored(_plausible(first, texts, percent), "pairs")
     links = stored(_verified(first, texts.select("node", "text"), k, percent), "links")
+    dropped(first)
     classes = stored(components(links), "classes")
 
     # Those that meet in one place and aren't in one class yet.
-    of_node = met.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    pivot_class = classes.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
-    placed = of_node.join(pivot_class, "pivot", "left").withColumn("pivot_component", F.coalesce("pivot_component", "pivot"))
-    placed = stored(placed, "placed")
-    links2 = stored(_met_unlinked(placed, texts, k, percent), "links")
+    of_node = met.filter("node <> pivot").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_pivot = classes.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
+    rest = F.col("component") != F.coalesce("pivot_component", "pivot")
+    placed = stored(of_node.join(of_pivot, "pivot", "left").select("sig", "pivot", "node", "component", rest.alias("rest")), "placed")
+    dropped(met)
+    links2 = _met_unlinked(placed, texts, k, percent)
+    dropped(placed)
+    dropped(texts)
     if links2.take(1):
-        classes = stored(components(links.unionByName(links2)), "classes")
+        before, classes = classes, stored(components(links.unionByName(links2)), "classes")
+        dropped(before)
+    dropped(links)
+    dropped(links2)
 
     smallest = nodes.dropna(subset=["node"]).groupBy("node").agg(F.min(id_col).alias("least"))
     joined = smallest.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
