@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-A document's features are the distinct n-grams (4, 6 and 8 bytes of UTF-8, in lower case, with other
-ASCII signs as spaces) that it holds anywhere. Feature f has the value
+A document's features are the n-grams (5 to 8 bytes of UTF-8, in lower case, with other ASCII signs as spaces) that it holds
+anywhere at least once, twice, 4 or 8 times, each of these a feature of its own. Feature f has the value
 r_f = log((p_f + a) / (P + 2a)) - log((q_f + a) / (Q + 2a)), where p_f of P toxic and q_f of Q other
-training documents hold it, and logistic regression learns a weight for each r_f. N-grams of up to 8
+training documents hold it, and logistic regression learns a weight for each r_f. Features are picked by G, the
+likelihood ratio of their counts in both classes, which few documents with a rare n-gram can't drive up as they can r_f. N-grams of up to 8
 bytes are told apart exactly, as 64-bit integers.
 """
 
@@ -19,20 +20,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm._text import distinct, text_buffers
+from saltmarsh.llm._store import stored
+from saltmarsh.llm._text import text_buffers
 
-SIZES = (4, 6, 8)
+SIZES = (5, 6, 7, 8)
+LEVELS = (1, 2, 4, 8)
 PIECE = 1 << 20
-TABLE_BITS = 20
+TABLE_BITS = 18
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Features in rising order, their weights (w_f times r_f) and the bias."""
+    """N-grams in rising order, for each the sum of the weights (w_f times r_f) that it has when it comes as often as each level says, and the bias."""
 
-    features: np.ndarray
+    grams: np.ndarray
     weights: np.ndarray
     bias: float
 
@@ -45,15 +48,14 @@ def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grams(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each size, the n-gram that begins at each byte; shorter ones have a zero byte at the top."""
-    one = _PLAIN[data].astype(np.uint64)
-    two = one[:-1] | (one[1:] << np.uint64(8))
-    four = two[:-2] | (two[2:] << np.uint64(16))
-    yield 4, four
-    if len(data) >= 6:
-        yield 6, four[:-2] | (two[4:] << np.uint64(32))
-    if len(data) >= 8:
-        yield 8, four[:-4] | (four[4:] << np.uint64(32))
+    """For each size, the n-gram that begins at each byte; shorter ones have zero bytes at the top."""
+    found = _PLAIN[data].astype(np.uint64)
+    for size in range(2, max(SIZES) + 1):
+        if len(data) < size:
+            return
+        found = found[:-1] | (_PLAIN[data[size - 1 :]].astype(np.uint64) << np.uint64(8 * size - 8))
+        if size in SIZES:
+            yield size, found
 
 
 def _slots(grams: np.ndarray) -> np.ndarray:
@@ -61,26 +63,35 @@ def _slots(grams: np.ndarray) -> np.ndarray:
         return (grams * _SPREAD) >> np.uint64(64 - TABLE_BITS)
 
 
-def document_features(data: np.ndarray) -> np.ndarray:
-    """Sorted distinct features of one document's bytes, read in pieces."""
-    found = [np.zeros(0, np.uint64)]
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, rising, with the sums of their counts."""
+    if len(parts) == 1:
+        return parts[0]
+    values = np.concatenate([np.zeros(0, np.uint64), *[v for v, _ in parts]])
+    counts = np.concatenate([np.zeros(0, np.int64), *[c for _, c in parts]])
+    values, at = np.unique(values, return_inverse=True)
+    return values, np.bincount(at, counts, len(values)).astype(np.int64)
+
+
+def document_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of one document's bytes, read in pieces, and how often each comes."""
+    found = []
     for at in range(0, len(data), PIECE):
-        piece = data[at : at + PIECE + 7]
-        if len(piece) >= 4:
-            found.append(distinct(np.concatenate([g for _, g in _grams(piece)])))
-    return distinct(np.concatenate(found))
+        for size, grams in _grams(data[at : at + PIECE + max(SIZES) - 1]):
+            found.append(np.unique(grams[: PIECE], return_counts=True))
+    return _summed(found)
 
 
 class Finder:
-    """Finds a model's features in texts: a bit table first, then an exact search."""
+    """Finds a model's n-grams in texts: a bit table first, then an exact search."""
 
-    def __init__(self, features: np.ndarray):
-        self.features = features
+    def __init__(self, grams: np.ndarray):
+        self.grams = grams
         self.table = np.zeros(1 << TABLE_BITS, bool)
-        self.table[_slots(features)] = True
+        self.table[_slots(grams)] = True
 
-    def __call__(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of row and feature (its place in the model), distinct, for some rows at a time."""
+    def __call__(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Row, n-gram (its place in the model) and how often it comes there, for some rows at a time."""
         data, offsets = _lowered(column)
         row = 0
         while row < len(column):
@@ -88,21 +99,27 @@ class Finder:
             stop = min(stop, len(column))
             parts = []
             for at in range(int(offsets[row]), int(offsets[stop]), PIECE):
-                piece = data[at : min(at + PIECE + 7, int(offsets[stop]))]
-                for size, grams in _grams(piece) if len(piece) >= 4 else ():
+                piece = data[at : min(at + PIECE + max(SIZES) - 1, int(offsets[stop]))]
+                for size, grams in _grams(piece):
+                    grams = grams[:PIECE]
                     place = np.flatnonzero(self.table[_slots(grams)])
-                    which = np.searchsorted(self.features, grams[place])
-                    which[which == len(self.features)] = 0
-                    exact = self.features[which] == grams[place] if len(self.features) else np.zeros(0, bool)
+                    which = np.searchsorted(self.grams, grams[place])
+                    which[which == len(self.grams)] = 0
+                    exact = self.grams[which] == grams[place] if len(self.grams) else np.zeros(0, bool)
                     place, which = place[exact] + at, which[exact]
                     rows = np.searchsorted(offsets, place, "right") - 1
                     inside = place + size <= offsets[rows + 1]
-                    parts.append(distinct((rows[inside] << 32 | which[inside]).astype(np.uint64)))
-            pairs = distinct(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-            yield (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                    parts.append(np.unique((rows[inside] << 32 | which[inside]).astype(np.uint64), return_counts=True))
+            pairs, counts = _summed(parts)
+            yield (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), counts
             row = stop
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Place of the highest level that a count reaches."""
+    return np.searchsorted(np.array(LEVELS), counts, "right") - 1
+
+
 def _regression(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, ratio: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
     """Logistic regression on the features scaled by ``ratio``, by Adam over all rows: weights and bias."""
     n, k = len(labels), len(ratio)
@@ -127,7 +144,7 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = 8000,
-    max_features: int = 20000,
+    max_features: int = 2000,
     min_rows: int = 4,
     alpha: float = 0.5,
     l2: float = 0.1,
@@ -135,60 +152,72 @@ def train(
 ) -> Model:
     """Fit a model on at most ``max_rows`` labelled documents: those with the smallest hash of their id.
 
-    Of the n-grams that at least ``min_rows`` of them hold, the ``max_features`` with the largest
-    |r_f| * sqrt(documents) are kept. The driver gets these counts and, for each row, which of them it
-    holds. Rows whose id or label is null, and ids with a label but no document, count for nothing. Where one of
-    the labels is missing the model has no features and gives all documents the (smoothed) share of toxic rows.
+    Of the features that at least ``min_rows`` of them hold, the ``max_features`` with the largest G
+    are kept. The driver gets these counts and, for each row, which of them it
+    holds. Rows whose id or label is null, and ids with a label but no document, count for nothing; of labels of one id the smallest does, and of
+    rows of one id the smallest text. Where one of the labels is missing the model has no features and gives all documents the (smoothed) share of toxic rows.
     """
     spark = docs.sparkSession
-    picked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().dropDuplicates(["id"])
+    picked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
     picked = picked.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(max_rows)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("label", "text")
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    sample = stored(sample.groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text"), "labelled")  # max_rows at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels_, (data, offsets) = batch.column(0).to_numpy(), _lowered(batch.column(1))
-            found = [document_features(data[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-            grams, at = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_inverse=True)
-            toxic = np.repeat(labels_, [len(x) for x in found])
-            positive = np.bincount(at, toxic, len(grams)).astype(np.int64)
-            both = np.bincount(at, minlength=len(grams)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(positive), pa.array(both)], ["gram", "positive", "both"])
+            found = [document_grams(data[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
+            for level, least in enumerate(LEVELS):
+                each = [g[c >= least] for g, c in found]
+                grams, at = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_inverse=True)
+                toxic = np.repeat(labels_, [len(x) for x in each])
+                positive = np.bincount(at, toxic, len(grams)).astype(np.int64)
+                both = np.bincount(at, minlength=len(grams)).astype(np.int64)
+                levels = pa.array(np.full(len(grams), level, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), levels, pa.array(positive), pa.array(both)], ["gram", "level", "positive", "both"])
 
     totals = sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     positives, negatives = int(totals[0]), int(totals[1] - totals[0])
     if not positives or not negatives:
         share = (positives + 0.5) / (positives + negatives + 2)
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    counts = sample.mapInArrow(count, "gram long, positive long, both long").groupBy("gram").agg(F.sum("positive").alias("p"), F.sum("both").alias("n"))
-    p, q = F.col("p") + alpha, F.col("n") - F.col("p") + alpha
-    r = F.log(p / (positives + 2 * alpha)) - F.log(q / (negatives + 2 * alpha))
-    kept = counts.filter(F.col("n") >= min_rows).select("gram", r.alias("r"), (F.abs(r) * F.sqrt("n")).alias("worth"))
-    kept = kept.orderBy(F.desc("worth"), "gram").limit(max_features).toPandas()
-    features = kept["gram"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(features)
-    features, ratio = features[order], kept["r"].to_numpy(float)[order]
-    held = spark.sparkContext.broadcast(features)
+        return Model(np.zeros(0, np.uint64), np.zeros((0, len(LEVELS))), float(np.log(share / (1 - share))))
+    counts = sample.mapInArrow(count, "gram long, level int, positive long, both long").groupBy("gram", "level")
+    counts = counts.agg(F.sum("positive").alias("p"), F.sum("both").alias("n")).filter(F.col("n") >= min_rows)
+    p, q = F.col("p"), F.col("n") - F.col("p")
+    r = F.log((p + alpha) / (positives + 2 * alpha)) - F.log((q + alpha) / (negatives + 2 * alpha))
+    rows = positives + negatives
+    cells = [(p, positives, F.col("n")), (q, negatives, F.col("n")), (positives - p, positives, rows - F.col("n")), (negatives - q, negatives, rows - F.col("n"))]
+    worth = sum((F.when(seen > 0, seen * F.log(seen * rows / (size * of))).otherwise(0.0) for seen, size, of in cells), F.lit(0.0))
+    kept = counts.select("gram", "level", r.alias("r"), worth.alias("worth")).orderBy(F.desc("worth"), "gram", "level").limit(max_features).toPandas()
+    ratio = kept["r"].to_numpy(float)
+    grams, at = np.unique(kept["gram"].to_numpy().astype(np.int64).view(np.uint64), return_inverse=True)
+    feature = np.full((len(grams), len(LEVELS)), -1, np.int32)
+    feature[at, kept["level"].to_numpy(int)] = np.arange(len(kept))
+    held = spark.sparkContext.broadcast((grams, feature))
 
     def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(held.value)
+        grams, feature = held.value
+        finder = Finder(grams)
         for batch in batches:
-            found = [f for rows, which in finder(batch.column(1)) for f in _by_row(rows, which)]
-            found = dict(found)
-            held_ = [found.get(i, np.zeros(0, np.int32)).tobytes() for i in range(batch.num_rows)]
+            held_ = [b""] * batch.num_rows
+            for rows, which, times in finder(batch.column(1)):
+                reached = np.where(np.arange(len(LEVELS)) <= _level(times)[:, None], feature[which], -1)
+                for a, b in zip(*_bounds(rows), strict=True):
+                    held_[rows[a]] = np.sort(reached[a:b][reached[a:b] >= 0]).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held_, pa.binary())], ["label", "held"])
 
     rows = sample.mapInArrow(held_by, "label int, held binary").toPandas().sort_values(["held", "label"])
     which = [np.frombuffer(x, np.int32) for x in rows["held"]]
-    at = np.repeat(np.arange(len(which)), [len(x) for x in which])
-    weights, bias = _regression(at, np.concatenate(which).astype(np.int64), rows["label"].to_numpy(float), ratio, l2, steps)
-    return Model(features, weights * ratio, bias)
+    place = np.repeat(np.arange(len(which)), [len(x) for x in which])
+    weights, bias = _regression(place, np.concatenate(which).astype(np.int64), rows["label"].to_numpy(float), ratio, l2, steps)
+    each = np.where(feature >= 0, np.append(weights * ratio, 0.0)[feature], 0.0)
+    return Model(grams, np.cumsum(each, axis=1), bias)
 
 
-def _by_row(rows: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
-    for a, b in zip(begins, np.append(begins[1:], len(rows)), strict=True):
-        yield int(rows[a]), which[a:b].astype(np.int32)
+def _bounds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place (exclusive) of each run of equal rows."""
+    begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])[: len(rows)])
+    return begins, np.append(begins[1:], len(rows)) if len(rows) else begins
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -202,11 +231,11 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: f
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, finder = held.value, Finder(held.value.features)
+        model, finder = held.value, Finder(held.value.grams)
         for texts in parts:
             total = np.full(len(texts), model.bias)
-            for rows, which in finder(pa.array(texts, pa.large_string(), from_pandas=True)):
-                total += np.bincount(rows, model.weights[which], len(texts))
+            for rows, which, times in finder(pa.array(texts, pa.large_string(), from_pandas=True)):
+                total += np.bincount(rows, model.weights[which, _level(times)], len(texts))
             yield pd.Series(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
     return docs.withColumn("score", scored(text_col)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -215,4 +244,3 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: f
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that are kept from training: crc32 of the id as text, modulo 4, is 2 (never null)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
-
