@@ -144,8 +144,9 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = 8000,
-    max_features: int = 2000,
-    min_rows: int = 4,
+    max_features: int = 5000,
+    features_a_row: int = 7,
+    min_rows: int = 3,
     alpha: float = 0.5,
     l2: float = 0.1,
     steps: int = 300,
@@ -153,7 +154,7 @@ def train(
     """Fit a model on at most ``max_rows`` labelled documents: those with the smallest hash of their id.
 
     Of the features that at least ``min_rows`` of them hold, the ``max_features`` with the largest G
-    are kept. The driver gets these counts and, for each row, which of them it
+    are kept, and no more than ``features_a_row`` for each of the documents, as few documents let many n-grams look telling by chance. The driver gets these counts and, for each row, which of them it
     holds. Rows whose id or label is null, and ids with a label but no document, count for nothing; of labels of one id the smallest does, and of
     rows of one id the smallest text. Where one of the labels is missing the model has no features and gives all documents the (smoothed) share of toxic rows.
     """
@@ -188,7 +189,7 @@ def train(
     rows = positives + negatives
     cells = [(p, positives, F.col("n")), (q, negatives, F.col("n")), (positives - p, positives, rows - F.col("n")), (negatives - q, negatives, rows - F.col("n"))]
     worth = sum((F.when(seen > 0, seen * F.log(seen * rows / (size * of))).otherwise(0.0) for seen, size, of in cells), F.lit(0.0))
-    kept = counts.select("gram", "level", r.alias("r"), worth.alias("worth")).orderBy(F.desc("worth"), "gram", "level").limit(max_features).toPandas()
+    kept = counts.select("gram", "level", r.alias("r"), worth.alias("worth")).orderBy(F.desc("worth"), "gram", "level").limit(min(max_features, features_a_row * rows)).toPandas()
     ratio = kept["r"].to_numpy(float)
     grams, at = np.unique(kept["gram"].to_numpy().astype(np.int64).view(np.uint64), return_inverse=True)
     feature = np.full((len(grams), len(LEVELS)), -1, np.int32)
