@@ -167,15 +167,17 @@ def train(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels_, (data, offsets) = batch.column(0).to_numpy(), _lowered(batch.column(1))
-            found = [document_grams(data[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-            for level, least in enumerate(LEVELS):
-                each = [g[c >= least] for g, c in found]
-                grams, at = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_inverse=True)
-                toxic = np.repeat(labels_, [len(x) for x in each])
-                positive = np.bincount(at, toxic, len(grams)).astype(np.int64)
-                both = np.bincount(at, minlength=len(grams)).astype(np.int64)
-                levels = pa.array(np.full(len(grams), level, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), levels, pa.array(positive), pa.array(both)], ["gram", "level", "positive", "both"])
+            cuts = np.flatnonzero(np.diff((offsets[:-1] - offsets[0]) // (PIECE // 4), prepend=-1, append=-1))
+            for first, end in zip(cuts, cuts[1:], strict=False):
+                found = [document_grams(data[offsets[i] : offsets[i + 1]]) for i in range(first, end)]
+                for level, least in enumerate(LEVELS):
+                    each = [g[c >= least] for g, c in found]
+                    grams, at = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_inverse=True)
+                    toxic = np.repeat(labels_[first:end], [len(x) for x in each])
+                    positive = np.bincount(at, toxic, len(grams)).astype(np.int64)
+                    both = np.bincount(at, minlength=len(grams)).astype(np.int64)
+                    levels = pa.array(np.full(len(grams), level, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), levels, pa.array(positive), pa.array(both)], ["gram", "level", "positive", "both"])
 
     totals = sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     positives, negatives = int(totals[0]), int(totals[1] - totals[0])
