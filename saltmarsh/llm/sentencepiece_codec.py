@@ -153,6 +153,10 @@ class Codec:
         self.tokenizer = build(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_units = self.model.by_units
+        self.forget()
+
+    def forget(self) -> None:
+        """Keep no encoded units."""
         self.index: dict[str, int] = {}
         self.ids, self.starts, self.sizes, self.same = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
@@ -275,6 +279,7 @@ def encode(df: DataFrame, model: bytes, *, text_col: str = "text", threads: int
                 offsets = pa.array(bounds.astype(np.int32), mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False))
                 columns = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(np.diff(bounds)), pa.array(same), pa.array(back)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *[n for n, _ in added]])
+        codec.forget()  # the worker may go on with other tasks
 
     return df.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from saltmarsh.llm._text import text_buffers
 
 SIZES = (5, 6, 7, 8)
 LEVELS = (1, 2, 4, 8)
-PIECE = 1 << 20
+PIECE = 1 << 18
 TABLE_BITS = 18
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
@@ -167,7 +167,7 @@ def train(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels_, (data, offsets) = batch.column(0).to_numpy(), _lowered(batch.column(1))
-            cuts = np.flatnonzero(np.diff((offsets[:-1] - offsets[0]) // (PIECE // 4), prepend=-1, append=-1))
+            cuts = np.flatnonzero(np.diff((offsets[:-1] - offsets[0]) // PIECE, prepend=-1, append=-1))
             for first, end in zip(cuts, cuts[1:], strict=False):
                 found = [document_grams(data[offsets[i] : offsets[i + 1]]) for i in range(first, end)]
                 for level, least in enumerate(LEVELS):
