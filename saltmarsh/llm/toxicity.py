@@ -26,6 +26,7 @@ from saltmarsh.llm._text import text_buffers
 SIZES = (5, 6, 7, 8)
 LEVELS = (1, 2, 4, 8)
 PIECE = 1 << 18
+ROWS = 256  # rows whose texts are copied at a time
 TABLE_BITS = 18
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
@@ -92,6 +93,11 @@ class Finder:
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Row, n-gram (its place in the model) and how often it comes there, for some rows at a time."""
+        for at in range(0, len(column), ROWS):
+            for rows, which, counts in self._found(column.slice(at, ROWS)):
+                yield rows + at, which, counts
+
+    def _found(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         data, offsets = _lowered(column)
         row = 0
         while row < len(column):
@@ -165,7 +171,7 @@ def train(
     sample = stored(sample.groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text"), "labelled")  # max_rows at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             labels_, (data, offsets) = batch.column(0).to_numpy(), _lowered(batch.column(1))
             cuts = np.flatnonzero(np.diff((offsets[:-1] - offsets[0]) // PIECE, prepend=-1, append=-1))
             for first, end in zip(cuts, cuts[1:], strict=False):
@@ -237,8 +243,9 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: f
         model, finder = held.value, Finder(held.value.grams)
         for texts in parts:
             total = np.full(len(texts), model.bias)
-            for rows, which, times in finder(pa.array(texts, pa.large_string(), from_pandas=True)):
-                total += np.bincount(rows, model.weights[which, _level(times)], len(texts))
+            for at in range(0, len(texts), ROWS):
+                for rows, which, times in finder(pa.array(texts.iloc[at : at + ROWS], pa.large_string(), from_pandas=True)):
+                    total += np.bincount(rows + at, model.weights[which, _level(times)], len(texts))
             yield pd.Series(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
     return docs.withColumn("score", scored(text_col)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
