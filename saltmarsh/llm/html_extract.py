@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,13 +51,15 @@ MARKS = ".!?…。！？"
 class Page:
     """The block tree of a page: parents (-1: none), depths, features, labels of training pages, and text segments."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, labelled: bool = False):
+        self.labelled = labelled  # whether ``data-y`` says what is content
         self.tags: list[str] = []
         self.parents: list[int] = []
         self.depths: list[int] = []
         self.attributes: list[str] = []
         self.labels: list[int] = []
         self.segments: list[tuple[int, str]] = []
+        self.open: Counter[str] = Counter()  # open blocks by tag, but for the root
         self.links: list[int] = []  # characters of each segment that are in links
         self._parse(source)
 
@@ -70,10 +74,12 @@ class Page:
                 name, value = name.lower(), "".join(values)
                 if name in ("class", "id", "role"):
                     words += " " + value
-                elif name == "data-y":
+                elif name == "data-y" and self.labelled:
                     label = int(value)
         self.attributes.append(words)
         self.labels.append(label)
+        if stack:
+            self.open[tag] += 1
         stack.append(len(self.tags) - 1)
 
     def _parse(self, source: str) -> None:
@@ -91,12 +97,13 @@ class Page:
                 if tag in hidden:
                     del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
                     return False
-                return tag in ("body", "html") or tag in BLOCKS and any(tags[k] == tag for k in stack[1:])
-            if hidden[-1] == "svg" and tag in BLOCKS:  # no svg holds one
+                return tag in ("body", "html") or self.open[tag] > 0
+            while hidden and hidden[-1] == "svg" and tag in BLOCKS:  # no svg holds one
                 del hidden[-1]
-                return not hidden or shown(tag, closing)
+            if not hidden:
+                return True
             ended, fences = ENDS.get(tag, ((), ()))
-            for name in [*hidden[:0:-1], *(tags[k] for k in stack[:0:-1])] if ended else ():
+            for name in chain(reversed(hidden[1:]), (tags[stack[k]] for k in range(len(stack) - 1, 0, -1))) if any(map(self.open.get, ended)) else ():
                 if name in fences:
                     break
                 if name in ended:
@@ -116,6 +123,8 @@ class Page:
         def pop_to(size: int) -> None:
             nonlocal link
             end_run()
+            for k in stack[size:]:
+                self.open[tags[k]] -= 1
             del stack[size:]
             if link is not None and link >= size:
                 link = None
@@ -150,24 +159,22 @@ class Page:
                     if tag == "body" and not closing and len(stack) == 1:
                         self._open(tag, attributes, stack)
                     elif tag == "html" and not closing and len(tags) == 1 and attributes:
-                        tags.clear(), self.parents.clear(), self.depths.clear(), self.attributes.clear(), self.labels.clear(), stack.clear()
+                        self.open.clear(), tags.clear(), self.parents.clear(), self.depths.clear(), self.attributes.clear(), self.labels.clear(), stack.clear()
                         self._open(tag, attributes, stack)
                 elif tag in BLOCKS:
                     if closing:
-                        for k in range(len(stack) - 1, 0, -1):
-                            if tags[stack[k]] == tag:
-                                pop_to(k)
-                                break
-                        else:
-                            end_run()
+                        k = len(stack) - 1
+                        while self.open[tag] and tags[stack[k]] != tag:
+                            k -= 1
+                        pop_to(k if self.open[tag] else len(stack))
                     else:
                         ended, fences = ENDS.get(tag, ({"p"}, BLOCKS - {"p"}))
-                        cut = len(stack)
+                        cut, left = len(stack), sum(self.open[x] for x in ended)
                         for k in range(len(stack) - 1, 0, -1):
-                            if tags[stack[k]] in fences:
+                            if not left or tags[stack[k]] in fences:
                                 break
                             if tags[stack[k]] in ended:
-                                cut = k
+                                cut, left = k, left - 1
                         pop_to(cut)
                         self._open(tag, attributes, stack)
             found = TAG.search(source, at)
@@ -254,7 +261,7 @@ class Extractor:
     """A trained model; ``text`` gives the main text of a page."""
 
     def __init__(self, steps: int = 300, l2: float = 0.1):
-        pages = [Page(x) for x in labelled_pages()]
+        pages = [Page(x, labelled=True) for x in labelled_pages()]
         self.index: dict[str, int] = {}
         forest = Forest(pages, self.index, learn=True)
         y = np.array([v for p in pages for v in p.labels])
@@ -291,7 +298,8 @@ def extract_text(df: DataFrame, *, html_col: str = "html", batch: int = 64) -> D
     """Add ``text``, a page's main text, and ``n_chars``, its code points, to each row.
 
     White space in a block becomes one space; blocks are joined in page order by one space. Null, empty and
-    markup-free pages work: the first two give an empty text. Columns of these names are replaced, others stay.
+    markup-free pages work: the first two give an empty text. Very long pages are read whole. Rows that repeat and null ids stay as they
+    are; no rows give no rows. Columns of these names are replaced, others stay.
     """
 
     held = df.sparkSession.sparkContext.broadcast(extractor())

@@ -131,14 +131,14 @@ class _Maker:
         if r.random() < 0.1:
             blocks.append(f"<p>{self.words(200, 900)}</p>")
         title = f"<h1>{self.words(2, 9)}</h1>"
-        inner = title + "".join(blocks) if r.random() < 0.85 else "".join(blocks)
+        inner = title + "".join(blocks) if r.random() < 0.65 else "".join(blocks)
         if r.random() < 0.3:
             inner += self.talk()
-        form = r.choice([0, 0, 0, 0, 3, 4, 4, 5, 5, 5, 5, 8, 9, 9, 11])
+        form = r.choice([0, 0, 0, 0, 3, 3, 4, 4, 5, 5, 5, 5, 8, 8, 9, 9, 10, 10, 11])
         if form <= 2:
             body = f'<article data-y="1">{inner}</article>'
         elif form == 3:
-            body = f'<main data-y="1">{inner}</main>'
+            body = f'<main data-y="1">{inner}</main>' if r.random() < 0.5 else f'<main data-y="1"><section>{inner}</section></main>'
         elif form == 4:
             body = f'<main><article data-y="1"{self.name(ROOTS)}>{inner}</article>{self.side() if r.random() < 0.4 else ""}</main>'
         elif form <= 7:
@@ -147,6 +147,9 @@ class _Maker:
             body = f'<div{r.choice(["", f""" class="{self.word()}" """])} data-y="1">{inner}</div>'
         elif form == 9:
             body = f'<table><tr><td{self.name(SIDES + MENUS)}>{self.links(4)}</td><td{self.name(ROOTS)} data-y="1">{inner}</td></tr></table>'
+        elif form == 10:  # no element of its own: blocks, menus and footer stand side by side in the body
+            front, behind = ("".join(m().replace(">", ' data-y="0">', 1) for m in makers if r.random() < 0.4) for makers in ((self.menu, self.head, self.note), (self.side, self.advert, self.foot)))
+            return f'<html><body data-y="1">{front}{inner}{behind}</body></html>'
         else:
             return f'<html data-y="1">{self.prose(1, 8)}' if r.random() < 0.4 else f'<html><body data-y="1">{inner}'
         parts = [body]

@@ -253,3 +253,34 @@ def test_html_without_end_tags():
     assert text("<p>one<svg><g>no<p>two") == "one two"
     assert text("<object>no<div>no</div>no<object>no</object>no</object>two") == "two"
     assert text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p></article>") == "Let x=2 be."
+
+
+def test_html_attributes_and_deep_nests():
+    import time
+
+    from saltmarsh.llm.html_extract import Page
+
+    Page('<div data-y="12.5"><p>x</p></div>')  # only a training page's label is read
+    for make in (lambda n: "<div>" * n + "</p>" * n, lambda n: "<div>" * n + "<td>" * n, lambda n: "<svg>" * n + "<li>" * n, lambda n: "<li>" + "<div>" * n + "<svg>" + "<li>" * n):
+        begun = time.process_time()
+        Page(make(20_000))
+        assert time.process_time() - begun < 5
+
+
+def test_html_of_unseen_layouts(spark):
+    """Layouts that no training page has: the article in other elements, with other class names, or in none."""
+    words = "The river rose again in spring, and the old bridge was closed for a week. "
+    body = [words * k for k in (1, 2, 3)]
+    want = " ".join(b.strip() for b in body)
+    paragraphs = "".join(f"<p>{b}</p>" for b in body)
+    menu = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in ("Home", "About", "Contact", "Archive"))
+    pages = [
+        f'<body><div class="topbar"><ul>{menu}</ul></div><div id="main-column"><div class="story-text">{paragraphs}</div></div><div class="footer-links"><a href=/a>Terms</a> <a href=/b>Privacy</a></div></body>',
+        f"<body><nav>{menu}</nav><main><section>{paragraphs}</section></main><aside><p><a href=/x>More like this</a></p></aside><footer>All rights reserved</footer></body>",
+        f'<body><ul class="nav">{menu}</ul><div class="post"><div class="post-body">{paragraphs}</div></div><form><label>Your mail</label><button>Subscribe</button></form></body>',
+        f"<body>{paragraphs}<footer><a href=/i>Imprint</a></footer></body>",
+    ]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], PAGE)).collect()}
+    found = sum(len(set(got[i].split()) & set(want.split())) / len(set(want.split())) for i in got) / len(pages)
+    extra = [w for t in got.values() for w in ("Home", "Terms", "Privacy", "Subscribe", "Imprint", "reserved") if w in t.split()]
+    assert found >= 0.9 and len(extra) <= 1, (found, extra, got)
