@@ -284,3 +284,68 @@ def test_html_of_unseen_layouts(spark):
     found = sum(len(set(got[i].split()) & set(want.split())) / len(set(want.split())) for i in got) / len(pages)
     extra = [w for t in got.values() for w in ("Home", "Terms", "Privacy", "Subscribe", "Imprint", "reserved") if w in t.split()]
     assert found >= 0.9 and len(extra) <= 1, (found, extra, got)
+
+
+def test_naive_bayes_by_hand(spark):
+    import math
+
+    labelled = [("bad-x", "/a", True), ("bad-bad", "", True), ("good", "/a/x", False)]
+    m = U.UrlClassifier(labelled, [("unseen", 9), ("badgood", 50)])
+    blocked, allowed, known = {"bad": 3, "x": 1, "a": 1}, {"good": 1, "a": 1, "x": 1}, 4
+    for w in ("bad", "x", "a", "good"):
+        want = math.log((blocked.get(w, 0) + 0.5) / (5 + 0.5 * known)) - math.log((allowed.get(w, 0) + 0.5) / (3 + 0.5 * known))
+        assert m.weight[w] == pytest.approx(want)
+    x = math.log(0.2 / 0.8) + 2 * m.weight["bad"] + m.weight["good"]
+    assert m.words("badgood.unseen", "/bad") == ["bad", "good", "unseen", "bad"]  # a name that words make up is no word, however frequent
+    assert m.score("badgood.unseen", "/bad") == pytest.approx(1 / (1 + math.exp(-x)))
+    table = spark.createDataFrame([*labelled, (None, None, None)], "host string, path string, blocked boolean")
+    assert sorted(U.labelled_from(table)) == sorted(labelled) and len(U.labelled_from(table, max_rows=2)) == 2
+
+
+def test_longest_rule_against_all_rules(spark):
+    r = random.Random(3)
+    labels, paths = ["a", "b", "com"], ["/", "/en/", "/en/x", "/e"]
+    rules = {".".join(r.choices(labels, k=r.randint(1, 3))) + r.choice(paths): r.choice(["allow", "block"]) for _ in range(12)}
+    urls = ["s://" + ".".join(r.choices([*labels, "xa"], k=r.randint(1, 4))) + r.choice(["", *paths, "/en/x/y?q"]) for _ in range(200)]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] * 2 + [(None, None)], "page_id long, url string").withColumn("rule", F.lit(0)).withColumn("score", F.lit("s"))
+    got = U.judge_urls(rows, rules).collect()
+    assert len(got) == 401 and U.judge_urls(rows.limit(0), rules).count() == 0
+    for row in got:
+        fits = [k for k in rules if (row.host == k.partition("/")[0] or row.host.endswith("." + k.partition("/")[0])) and row.path.startswith("/" + k.partition("/")[2])]
+        assert (len(row.rule) if row.rule else None) == (max(map(len, fits)) if fits else None) and (row.rule is None or row.rule in fits)
+        assert row.rule is None or row.verdict == rules[row.rule]
+
+
+def test_toxicity_counts_against_brute_force(spark, monkeypatch):
+    """Counts of n-grams, their ratios and the score, each by plain Python."""
+    import math
+
+    import numpy as np
+
+    from saltmarsh.llm import toxicity as T
+
+    texts = ["bad bad bad words, really BAD", "good words here", "", None, "bad things", "nice good words, good words", "bad good"]
+    labels = [1, 0, 0, 0, 1, 0, 1]
+    monkeypatch.setattr(T, "_regression", lambda rows, cols, labels, ratio, l2, steps: (np.ones(len(ratio)), -0.5))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = T.train(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"), min_rows=1, max_features=10**6, features_a_row=10**6)
+
+    def grams(text):
+        data = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in f" {text or ''} ".lower().encode())
+        found = {}
+        for n in T.SIZES:
+            for i in range(len(data) - n + 1):
+                found[data[i : i + n]] = found.get(data[i : i + n], 0) + 1
+        return found
+
+    held = [{(g, at) for g, c in grams(t).items() for at, least in enumerate(T.LEVELS) if c >= least} for t in texts]
+    p, q = sum(labels), len(labels) - sum(labels)
+    ratio = {}
+    for f in set().union(*held):
+        a = sum(f in h for h, y in zip(held, labels, strict=True) if y)
+        b = sum(f in h for h, y in zip(held, labels, strict=True) if not y)
+        ratio[f] = math.log((a + 0.5) / (p + 1)) - math.log((b + 0.5) / (q + 1))
+    assert len(model.grams) == len({g for g, _ in ratio})
+    for r in T.score(docs, model).collect():
+        x = -0.5 + sum(ratio[f] for f in held[r.doc_id])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-x)))
