@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from saltmarsh.llm._store import stored
 from saltmarsh.llm._text import distinct, grams, shingle_set, words_of
 
 BLOCK = 2_000_000  # shingles of items that are broadcast at a time, 16 bytes each
@@ -106,27 +107,31 @@ def find_contained(
     Returns ``doc_id``, ``item_id``, ``n_shingles`` (of the item), ``n_found`` and ``containment``. An item of fewer
     than ``k`` words is one shingle, its whole sequence; an item without words is in no document. Words as in
     ``_text``. Null texts count as empty, repeated rows each give their pairs, null ids are ids. Items are broadcast in
-    blocks of ``block`` shingles at most (or of one item, if longer); there are as many passes as blocks.
+    blocks of about half of ``block`` shingles (or of one item, if longer), one after the other; there are as many passes as blocks. Equal items are
+    searched for once. Very long texts are read whole; further columns aren't read.
     """
-    names = [doc_id, item_id, "n_shingles", "n_found", "containment"]
-    types = [docs.schema[doc_id].dataType, items.schema[item_id].dataType, T.LongType(), T.LongType(), T.DoubleType()]
-    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)])
-    shingled = item_shingles(items, k, item_id, item_text).filter("n > 0")
-    total = shingled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    schema = T.StructType([docs.schema[doc_id], *[T.StructField(n, T.LongType()) for n in ("key", "n_shingles", "n_found")]])
+    shingled = stored(item_shingles(items, k, item_id, item_text).filter("n > 0").withColumn("key", F.xxhash64("shingles", "width")), "items")
+    sets = shingled.dropDuplicates(["key"])  # equal items are searched for once
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // block)) if total > block else 1
     spark, found = docs.sparkSession, []
     for b in range(blocks):
-        part = shingled if blocks == 1 else shingled.filter(F.pmod(F.xxhash64("shingles"), F.lit(blocks)) == b)
-        table = part.toArrow()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        ids = table.column("id").combine_chunks()
-        index = ItemIndex(ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, table.column("n").to_numpy(), table.column("width").to_numpy(), sets, percent)
+        table = sets.filter(F.pmod("key", F.lit(blocks)) == b).toArrow()
+        shingles = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        keys = table.column("key").combine_chunks()
+        index = ItemIndex(keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys, table.column("n").to_numpy(), table.column("width").to_numpy(), shingles, percent)
         held = spark.sparkContext.broadcast(index)
-        found.append(docs.select(doc_id, doc_text).mapInArrow(_searcher(held, names), schema))
+        pairs = docs.select(doc_id, doc_text).mapInArrow(_searcher(held, schema.names), schema)
+        if blocks > 1:  # one block is held at a time
+            pairs = stored(pairs, "contained")
+            held.destroy()
+        found.append(pairs)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    named = out.join(shingled.select("key", F.col("id").alias("_item")), "key")
+    return named.select(doc_id, F.col("_item").alias(item_id), "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
 def _searcher(held, names: list[str]):
@@ -136,7 +141,7 @@ def _searcher(held, names: list[str]):
             hits = list(index.search(batch.column(1)))
             rows, which, n = (np.array(x, np.int64) for x in (zip(*hits, strict=True) if hits else ((), (), ())))
             sizes = index.sizes[which] if len(which) else np.zeros(0, np.int64)
-            arrays = [batch.column(0).take(pa.array(rows, pa.int64())), index.ids.take(pa.array(which, pa.int64())), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array(n / sizes if len(n) else np.zeros(0))]
+            arrays = [batch.column(0).take(pa.array(rows, pa.int64())), index.ids.take(pa.array(which, pa.int64())), pa.array(sizes, pa.int64()), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run

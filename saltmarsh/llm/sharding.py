@@ -31,9 +31,9 @@ def ring(spark: SparkSession, shards: int, vnodes: int, points: int) -> DataFram
 def _arcs_of_places(nodes: DataFrame, points: int) -> DataFrame:
     """The arc of every place: that of the next virtual node clockwise, the first one after the last."""
     spark = nodes.sparkSession
-    ahead = Window.orderBy("place").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)  # a running value; one that looks forward is computed anew for each row
     marked = spark.range(0, points, 1, 1).withColumnRenamed("id", "place").join(nodes.select("place", "arc"), "place", "left")
-    return marked.select("place", F.coalesce(F.first("arc", ignorenulls=True).over(ahead), F.lit(0)).cast("int").alias("arc"))
+    return marked.select("place", F.coalesce(F.last("arc", ignorenulls=True).over(ahead), F.lit(0)).cast("int").alias("arc"))
 
 
 def _fill(counts: Column, capacities: Column) -> Column:
