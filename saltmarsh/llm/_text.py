@@ -7,6 +7,7 @@ word stands, so that a text of any length can be read in pieces.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,6 +117,15 @@ def words_of(column: pa.Array) -> Iterator[Words]:
         row = stop
 
 
+def give_back() -> None:
+    """Return freed memory to the machine at the end of a task, as the Python worker goes on with other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` words, one for each place where such a run begins."""
     n = len(hashes) - k + 1

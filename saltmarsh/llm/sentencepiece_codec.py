@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saltmarsh.llm._text import text_buffers
+from saltmarsh.llm._text import give_back, text_buffers
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNITS = 400_000  # units that a task keeps encoded; beyond it, those of the texts at hand
-SLICE = 4 << 20  # bytes of text that are encoded at a time, or one text
+UNITS = 250_000  # units that a task keeps encoded; beyond it, those of the texts at hand
+SLICE = 2 << 20  # bytes of text that are encoded at a time, or one text
 ROWS = 256  # rows that are decoded at a time
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -279,7 +279,8 @@ def encode(df: DataFrame, model: bytes, *, text_col: str = "text", threads: int
                 offsets = pa.array(bounds.astype(np.int32), mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False))
                 columns = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(np.diff(bounds)), pa.array(same), pa.array(back)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *[n for n, _ in added]])
-        codec.forget()  # the worker may go on with other tasks
+        codec.forget()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm._store import stored
-from saltmarsh.llm._text import text_buffers
+from saltmarsh.llm._text import give_back, text_buffers
 
 SIZES = (5, 6, 7, 8)
 LEVELS = (1, 2, 4, 8)
@@ -184,6 +184,7 @@ def train(
                     both = np.bincount(at, minlength=len(grams)).astype(np.int64)
                     levels = pa.array(np.full(len(grams), level, np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), levels, pa.array(positive), pa.array(both)], ["gram", "level", "positive", "both"])
+        give_back()
 
     totals = sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     positives, negatives = int(totals[0]), int(totals[1] - totals[0])
