@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm._store import stored
-from saltmarsh.llm._text import give_back, text_buffers
+from saltmarsh.llm._text import give_back, mix, text_buffers
 
 SIZES = (5, 6, 7, 8)
 LEVELS = (1, 2, 4, 8)
@@ -142,6 +142,44 @@ def _regression(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, ratio: n
     return w, float(b)
 
 
+_COUNT = np.dtype([("gram", "<u8"), ("level", "u1"), ("positive", "<u4"), ("both", "<u4")])
+BUCKET_BITS = 8  # n-grams are counted in so many buckets, each held by one task at a time; ``max_rows`` bounds their size
+
+
+def _counted(grams: np.ndarray, positive: np.ndarray, both: np.ndarray, level: int) -> np.ndarray:
+    """Sums of the counts of each n-gram."""
+    grams, at = np.unique(grams, return_inverse=True)
+    out = np.zeros(len(grams), _COUNT)
+    out["gram"], out["level"] = grams, level
+    out["positive"], out["both"] = (np.bincount(at, x, len(grams)).astype(np.uint32) for x in (positive, both))
+    return out
+
+
+def _packed(found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> pa.RecordBatch:
+    """How many of some documents, and of the toxic ones, hold each n-gram so many times: one packed row for each bucket."""
+    rows = []
+    for level, least in enumerate(LEVELS):
+        each = [g[c >= least] for g, c in found]
+        toxic = np.repeat(labels, [len(x) for x in each])
+        rows.append(_counted(np.concatenate([*each, np.zeros(0, np.uint64)]), toxic, np.ones(len(toxic)), level))
+    rows = np.concatenate(rows)
+    bucket = (mix(np.ascontiguousarray(rows["gram"])) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], rows[order]
+    cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]), len(bucket))
+    data = [rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
+
+
+def _merged(held: list[np.ndarray], min_rows: int) -> pa.RecordBatch:
+    """The n-grams of one bucket that ``min_rows`` documents hold, with their counts."""
+    rows = np.concatenate(held)
+    rows = np.concatenate([_counted(x["gram"], x["positive"], x["both"], level) for level in range(len(LEVELS)) for x in [rows[rows["level"] == level]]])
+    rows = rows[rows["both"] >= min_rows]
+    arrays = [pa.array(np.ascontiguousarray(rows["gram"]).view(np.int64)), *[pa.array(rows[n].astype(t)) for n, t in (("level", np.int32), ("positive", np.int64), ("both", np.int64))]]
+    return pa.RecordBatch.from_arrays(arrays, ["gram", "level", "p", "n"])
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -176,23 +214,28 @@ def train(
             cuts = np.flatnonzero(np.diff((offsets[:-1] - offsets[0]) // PIECE, prepend=-1, append=-1))
             for first, end in zip(cuts, cuts[1:], strict=False):
                 found = [document_grams(data[offsets[i] : offsets[i + 1]]) for i in range(first, end)]
-                for level, least in enumerate(LEVELS):
-                    each = [g[c >= least] for g, c in found]
-                    grams, at = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_inverse=True)
-                    toxic = np.repeat(labels_[first:end], [len(x) for x in each])
-                    positive = np.bincount(at, toxic, len(grams)).astype(np.int64)
-                    both = np.bincount(at, minlength=len(grams)).astype(np.int64)
-                    levels = pa.array(np.full(len(grams), level, np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), levels, pa.array(positive), pa.array(both)], ["gram", "level", "positive", "both"])
+                yield _packed(found, labels_[first:end])
         give_back()
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield _merged(held, min_rows)
+                    held = []
+                now = bucket
+                held.append(np.frombuffer(data, _COUNT))
+        if held:
+            yield _merged(held, min_rows)
+
     totals = sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     positives, negatives = int(totals[0]), int(totals[1] - totals[0])
     if not positives or not negatives:
         share = (positives + 0.5) / (positives + negatives + 2)
         return Model(np.zeros(0, np.uint64), np.zeros((0, len(LEVELS))), float(np.log(share / (1 - share))))
-    counts = sample.mapInArrow(count, "gram long, level int, positive long, both long").groupBy("gram", "level")
-    counts = counts.agg(F.sum("positive").alias("p"), F.sum("both").alias("n")).filter(F.col("n") >= min_rows)
+    packed = sample.mapInArrow(count, "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
+    counts = packed.mapInArrow(merge, "gram long, level int, p long, n long")
     p, q = F.col("p"), F.col("n") - F.col("p")
     r = F.log((p + alpha) / (positives + 2 * alpha)) - F.log((q + alpha) / (negatives + 2 * alpha))
     rows = positives + negatives
