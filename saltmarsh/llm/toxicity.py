@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm._store import stored
-from saltmarsh.llm._text import give_back, mix, text_buffers
+from saltmarsh.llm._text import give_back, mix, pack, text_buffers, unpack
 
 SIZES = (5, 6, 7, 8)
 LEVELS = (1, 2, 4, 8)
@@ -143,7 +143,7 @@ def _regression(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, ratio: n
 
 
 _COUNT = np.dtype([("gram", "<u8"), ("level", "u1"), ("positive", "<u4"), ("both", "<u4")])
-BUCKET_BITS = 8  # n-grams are counted in so many buckets, each held by one task at a time; ``max_rows`` bounds their size
+BUCKET_BITS = 6  # n-grams are counted in so many buckets, each held by one task at a time; ``max_rows`` bounds their size
 
 
 def _counted(grams: np.ndarray, positive: np.ndarray, both: np.ndarray, level: int) -> np.ndarray:
@@ -167,14 +167,14 @@ def _packed(found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> p
     order = np.argsort(bucket, kind="stable")
     bucket, rows = bucket[order], rows[order]
     cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]), len(bucket))
-    data = [rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
+    data = [pack([rows[n][a:b] for n in _COUNT.names]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(np.diff(cuts).astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "n", "data"])
 
 
-def _merged(held: list[np.ndarray], min_rows: int) -> pa.RecordBatch:
+def _merged(held: list[tuple[bytes, int]], min_rows: int) -> pa.RecordBatch:
     """The n-grams of one bucket that ``min_rows`` documents hold, with their counts."""
-    rows = np.concatenate(held)
-    rows = np.concatenate([_counted(x["gram"], x["positive"], x["both"], level) for level in range(len(LEVELS)) for x in [rows[rows["level"] == level]]])
+    gram, level, positive, both = (np.concatenate(x) for x in zip(*(unpack(data, n, len(_COUNT.names)) for data, n in held), strict=True))
+    rows = np.concatenate([_counted(gram.view(np.uint64)[x], positive[x], both[x], i) for i in range(len(LEVELS)) for x in [level == i]])
     rows = rows[rows["both"] >= min_rows]
     arrays = [pa.array(np.ascontiguousarray(rows["gram"]).view(np.int64)), *[pa.array(rows[n].astype(t)) for n, t in (("level", np.int32), ("positive", np.int64), ("both", np.int64))]]
     return pa.RecordBatch.from_arrays(arrays, ["gram", "level", "p", "n"])
@@ -220,12 +220,12 @@ def train(
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for bucket, n, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if bucket != now and held:
                     yield _merged(held, min_rows)
                     held = []
                 now = bucket
-                held.append(np.frombuffer(data, _COUNT))
+                held.append((data, n))
         if held:
             yield _merged(held, min_rows)
 
@@ -234,7 +234,7 @@ def train(
     if not positives or not negatives:
         share = (positives + 0.5) / (positives + negatives + 2)
         return Model(np.zeros(0, np.uint64), np.zeros((0, len(LEVELS))), float(np.log(share / (1 - share))))
-    packed = sample.mapInArrow(count, "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
+    packed = sample.mapInArrow(count, "bucket int, n int, data binary").repartition("bucket").sortWithinPartitions("bucket")
     counts = packed.mapInArrow(merge, "gram long, level int, p long, n long")
     p, q = F.col("p"), F.col("n") - F.col("p")
     r = F.log((p + alpha) / (positives + 2 * alpha)) - F.log((q + alpha) / (negatives + 2 * alpha))
