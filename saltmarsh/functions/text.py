@@ -22,18 +22,19 @@ FORBIDDEN_FOR_CUSTOMERS = ("biên", "margin", "lãi", "giá gốc", "giá nhà x
 FORBIDDEN_KEYS = ("internal", "margin", "base_margin_pct", "carrier_cost", "min_margin_amount", "pricing_rule")
 EMPTY_ANSWER = "Xin lỗi, tôi chưa tạo được câu trả lời cho câu này. Bạn thử hỏi lại ngắn gọn hơn giúp tôi nhé."
 DEDUPE_FROM = 40  # characters from which a repeated line goes
+SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 NUMBER = r"\d[\d.,]*\d|\d"
 
 
 def stripped(text: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space, of any script, at both ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def strip_think(text: Column) -> Column:
     """What follows the last closing reasoning tag; of a text whose tag isn't closed, what comes before it."""
     closed = F.substring_index(text, "</think>", -1)
-    return F.trim(F.when(text.contains("</think>"), closed).otherwise(F.substring_index(text, "<think>", 1)))
+    return stripped(F.when(text.contains("</think>"), closed).otherwise(F.substring_index(text, "<think>", 1)))
 
 
 def dedupe_lines(text: Column) -> Column:
@@ -42,7 +43,7 @@ def dedupe_lines(text: Column) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, line: Column) -> Column:
-        key = F.trim(line)
+        key = stripped(line)
         long = F.length(key) >= DEDUPE_FROM
         again = long & F.array_contains(state["seen"], key)
         seen = F.when(long & ~again, F.array_append(state["seen"], key)).otherwise(state["seen"])
@@ -63,7 +64,7 @@ def clean_output(text: Column) -> Column:
 def user_content(text: Column) -> Column:
     """What stands behind [USER REQUEST] up to the next bracket; without such a part the whole text."""
     mark = r"(?s)\[USER REQUEST\]\s*(.*?)(?=\[|$)"
-    return F.when(text.rlike(r"\[USER REQUEST\]"), F.trim(F.regexp_extract(text, mark, 1))).otherwise(text)
+    return F.when(text.rlike(r"\[USER REQUEST\]"), stripped(F.regexp_extract(text, mark, 1))).otherwise(text)
 
 
 def numbers_in(text: Column) -> Column:
@@ -110,7 +111,7 @@ def clean_markdown(text: Column) -> Column:
     text = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", "")
     text = F.regexp_replace(text, r"\[([^\]]+)\]\([^)]*\)", "$1")
     text = F.regexp_replace(text, r"(?m)^#+\s*", "")
-    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def mask_phone(text: Column) -> Column:

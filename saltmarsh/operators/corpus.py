@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from saltmarsh.functions.text import stripped
+
 MAX_REPORT_CHARS, MAX_ANSWER_CHARS = 12_000, 1_400
 OLD_SHARE, EVAL_SHARE = 0.55, 0.08
 
@@ -19,7 +21,7 @@ def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
 
 def dialogue_key(user: Column, answer: Column, chars: int = 160) -> Column:
     """What two samples share that count as the same: the question and the answer's beginning."""
-    return F.md5(F.concat(F.trim(user), F.lit("||"), F.substring(answer, 1, chars)))
+    return F.md5(F.concat(stripped(user), F.lit("||"), F.substring(answer, 1, chars)))
 
 
 def share_cap(df: DataFrame, old: Column, key: str, share: float = OLD_SHARE) -> DataFrame:
@@ -49,22 +51,27 @@ def fingerprint(df: DataFrame, keys: list[str], item: Column) -> DataFrame:
 
 
 def shape_errors(messages: DataFrame) -> DataFrame:
-    """First fault of each conversation: roles don't alternate, or the last message isn't an assistant's with text; null if sound."""
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    rows = messages.filter(F.col("role") != "system").withColumn("_same", F.lag("role").over(order) == F.col("role"))
-    last = F.max_by(F.struct("role", "text"), "turn")
-    found = rows.groupBy("conv_id").agg(F.count("*").alias("messages"), F.bool_or(F.coalesce("_same", F.lit(False))).alias("_same"), last.alias("_last"))
+    """First fault of each conversation: fewer than 3 messages, the first not the system's, then user and assistant not in turn, or the last not an
+    assistant's with text; null if sound."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = messages.withColumn("_r", place)
+    due = F.when(F.col("_r") % 2 == 0, "user").otherwise("assistant")
+    last = F.max_by(F.struct("role", "text"), "_r")
+    wrong = F.bool_or((F.col("_r") > 1) & ~F.col("role").eqNullSafe(due))
+    found = rows.groupBy("conv_id").agg(F.count("*").alias("messages"), F.min_by("role", "_r").alias("_first"), wrong.alias("_wrong"), last.alias("_last"))
     fault = (
-        F.when(F.col("_same"), "roles don't alternate")
+        F.when(F.col("messages") < 3, "fewer than 3 messages")
+        .when(~F.col("_first").eqNullSafe(F.lit("system")), "first message isn't the system's")
+        .when(F.col("_wrong"), "roles don't alternate")
         .when(F.col("_last.role") != "assistant", "last message isn't the assistant's")
-        .when(F.trim(F.coalesce("_last.text", F.lit(""))) == "", "last message is empty")
+        .when(stripped(F.coalesce("_last.text", F.lit(""))) == "", "last message is empty")
     )
     return found.select("conv_id", "messages", fault.alias("fault"))
 
 
 def convert_reason(answer: Column, action: Column) -> Column:
     """Why an old sample is kept or not, in this order: empty, sql_action, malformed_json, too_long, report_ok, ok."""
-    text = F.trim(F.coalesce(answer, F.lit("")))
+    text = stripped(F.coalesce(answer, F.lit("")))
     return (
         F.when(text == "", "empty_after_strip")
         .when(action == "sql", "sql_action")

@@ -88,12 +88,28 @@ def mase(actual: Column, predicted: Column) -> Column:
 
 
 def backtest_mase(series: Column, alpha: float = 0.1, variant: str = "sba") -> Column:
-    """MASE of one-step forecasts from the fifth period on, each from all periods before; null for fewer than six periods."""
+    """MASE of one-step forecasts from the fifth period on, each from all periods before; null for fewer than six periods.
+
+    One pass: the fold carries the smoothed size and interval and the sum of the errors so far.
+    """
     n = F.size(series)
-    origins = F.sequence(F.lit(BACKTEST_START), n - 1)
-    predicted = F.transform(origins, lambda t: croston(F.slice(series, F.lit(1), t), alpha, variant))
-    actual = F.slice(series, F.lit(BACKTEST_START + 1), n - BACKTEST_START)
-    return F.when(n >= BACKTEST_MIN, mase(actual, predicted))
+    factor = 1 - alpha / 2 if variant == "sba" else 1.0
+    unknown = F.lit(None).cast("double")
+    start = F.struct(unknown.alias("z"), unknown.alias("p"), F.lit(0.0).alias("gap"), F.lit(0).alias("at"), F.lit(0.0).alias("error"))
+
+    def step(state: Column, x: Column) -> Column:
+        predicted = F.coalesce(state["z"] / state["p"] * factor, F.lit(0.0))
+        error = F.when(state["at"] >= BACKTEST_START, state["error"] + F.abs(x - predicted)).otherwise(state["error"])
+        gap, first, hit = state["gap"] + 1, state["z"].isNull(), x > 0
+        z = F.when(~hit, state["z"]).when(first, x).otherwise(state["z"] + F.lit(alpha) * (x - state["z"]))
+        p = F.when(~hit, state["p"]).when(first, gap).otherwise(state["p"] + F.lit(alpha) * (gap - state["p"]))
+        gap = F.when(hit, F.lit(0.0)).otherwise(gap)
+        return F.struct(z.cast("double").alias("z"), p.cast("double").alias("p"), gap.alias("gap"), (state["at"] + 1).alias("at"), error.cast("double").alias("error"))
+
+    error = F.aggregate(series, start, step, lambda state: state["error"]) / (n - BACKTEST_START)
+    before, after = (F.slice(series, F.lit(i), F.greatest(n - BACKTEST_START - 1, F.lit(0))) for i in (BACKTEST_START + 1, BACKTEST_START + 2))
+    naive = _mean(F.zip_with(after, before, lambda a, b: F.abs(a - b)))
+    return F.when((n >= BACKTEST_MIN) & (naive > 1e-9), F.round(error / naive, 4))
 
 
 def forecast_demand(df: DataFrame, alpha: float = 0.1, variant: str = "sba", series: str = "series") -> DataFrame:

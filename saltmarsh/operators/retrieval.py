@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from saltmarsh.functions.text import stripped
+
 K1, B, EPSILON = 1.5, 0.75, 0.25  # Okapi's usual parameters
 THRESHOLD, MARGIN = 0.40, 0.05
 #: Routes with words that decide at once, in this order. Fixed values.
@@ -42,7 +44,7 @@ def chunk_chars(df: DataFrame, text: str = "text", size: int = 1200, overlap: in
     """Overlapping chunks of characters, trimmed, those of more than ``least``; shorter texts give none."""
     n = F.length(text)
     starts = F.when(n >= least, F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    rows = df.select("*", F.explode(starts).alias("_start")).withColumn("chunk_text", F.trim(F.substring(F.col(text), F.col("_start"), F.lit(size))))
+    rows = df.select("*", F.explode(starts).alias("_start")).withColumn("chunk_text", stripped(F.substring(F.col(text), F.col("_start"), F.lit(size))))
     return rows.filter(F.length("chunk_text") > least).withColumn("chunk", ((F.col("_start") - 1) / (size - overlap)).cast("int")).drop("_start")
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from saltmarsh.functions.text import stripped
+
 MAX_CHARS, LIMIT = 1200, 6
-CUT_MARK = "…"
+CUT_MARK = " […đã rút gọn]"  # fixed value
 
 
 def latest_session(sessions: DataFrame) -> DataFrame:
@@ -32,13 +34,13 @@ def history(messages: DataFrame, limit: int = LIMIT) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     last = messages.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit).drop("_r")
     rows = last.withColumn("role", normal_role(F.col("role")))
-    return rows.filter(F.col("role").isin("user", "assistant") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    return rows.filter(F.col("role").isin("user", "assistant") & (stripped(F.coalesce("text", F.lit(""))) != ""))
 
 
 def sanitize_history(messages: DataFrame, limit: int = LIMIT, max_chars: int = MAX_CHARS) -> DataFrame:
     """User and assistant messages with text, cut to ``max_chars``, the last ``limit``, beginning with a user's."""
-    rows = messages.filter(F.col("role").isin("user", "assistant") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    text = F.trim("text")
+    rows = messages.filter(F.col("role").isin("user", "assistant") & (stripped(F.coalesce("text", F.lit(""))) != ""))
+    text = stripped(F.col("text"))
     rows = rows.withColumn("text", F.when(F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars), F.lit(CUT_MARK))).otherwise(text))
     newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     rows = rows.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= limit)

@@ -12,6 +12,10 @@ from saltmarsh.sources.tables import table
 WORDS = r"list_filter(regexp_split_to_array({0}, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
 
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{T.SPACE}+|{T.SPACE}+$', '', 'g')"
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -43,16 +47,16 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TAIL = "FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6"
 HISTORY_SQL = f"""SELECT conv_id, turn, role, md5(text) AS text_md5 FROM (
     SELECT conv_id, turn, CASE WHEN lower(trim(role)) IN ('bot', 'ai', 'model') THEN 'assistant' ELSE lower(trim(role)) END AS role, text {_TAIL})
-WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> ''"""
+WHERE role IN ('user', 'assistant') AND {_strip("coalesce(text, '')")} <> ''"""
 
 
 def sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sessions.sanitize_history(table(spark, sf_dir, "conversations"), max_chars=120)
+    rows = sessions.sanitize_history(table(spark, sf_dir, "conversations"))
     return rows.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"), F.md5("text").alias("text_md5"))
 
 
-SANITIZED_SQL = """WITH r AS (SELECT conv_id, turn, role, trim(text, ' ') AS t FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, ''), ' ') <> ''),
-c AS (SELECT conv_id, turn, role, CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '…' ELSE t END AS t FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6),
+SANITIZED_SQL = f"""WITH r AS (SELECT conv_id, turn, role, {_strip("text")} AS t FROM conversations WHERE role IN ('user', 'assistant') AND {_strip("coalesce(text, '')")} <> ''),
+c AS (SELECT conv_id, turn, role, CASE WHEN length(t) > 1200 THEN substr(t, 1, 1200) || ' […đã rút gọn]' ELSE t END AS t FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6),
 b AS (SELECT *, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS begun FROM c)
 SELECT conv_id, turn, role, length(t) AS n, md5(t) AS text_md5 FROM b WHERE begun = 1"""
 
@@ -63,7 +67,7 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CONTEXT_SQL = f"""SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS context_md5, count(*) AS n FROM (
     SELECT conv_id, turn, CASE WHEN lower(trim(role)) IN ('bot', 'ai', 'model') THEN 'assistant' ELSE lower(trim(role)) END AS role, text {_TAIL})
-WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '' GROUP BY conv_id"""
+WHERE role IN ('user', 'assistant') AND {_strip("coalesce(text, '')")} <> '' GROUP BY conv_id"""
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +111,7 @@ def chunk_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.chunk_chars(_docs(spark, sf_dir)).select("doc_id", "chunk", F.length("chunk_text").cast("long").alias("n"), F.md5("chunk_text").alias("text_md5"))
 
 
-CHUNK_CHARS_SQL = """WITH c AS (SELECT doc_id, unnest(range(0, length(text), 1050)) AS s, text FROM documents WHERE length(text) >= 100), t AS (SELECT doc_id, (s // 1050)::INT AS chunk, trim(substr(text, s + 1, 1200), ' ') AS t FROM c)
+CHUNK_CHARS_SQL = f"""WITH c AS (SELECT doc_id, unnest(range(0, length(text), 1050)) AS s, text FROM documents WHERE length(text) >= 100), t AS (SELECT doc_id, (s // 1050)::INT AS chunk, {_strip('substr(text, s + 1, 1200)')} AS t FROM c)
 SELECT doc_id, chunk, length(t) AS n, md5(t) AS text_md5 FROM t WHERE length(t) > 100"""
 
 
@@ -140,17 +144,17 @@ def think(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(T.strip_think(raw)).alias("text_md5"))
 
 
-THINK_SQL = "SELECT doc_id, md5(trim(CASE WHEN doc_id % 3 = 1 THEN substr(text, 1, 40) ELSE text END, ' ')) AS text_md5 FROM documents"
+THINK_SQL = f"SELECT doc_id, md5({_strip('CASE WHEN doc_id % 3 = 1 THEN substr(text, 1, 40) ELSE text END')}) AS text_md5 FROM documents"
 
 
 def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(T.dedupe_lines(F.col("text"))).alias("text_md5"))
 
 
-DEDUPE_SQL = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-r AS (SELECT *, length(trim(line, ' ')) >= 40 AND row_number() OVER (PARTITION BY doc_id, trim(line, ' ') ORDER BY i) > 1 AS again FROM l),
+DEDUPE_SQL = rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+r AS (SELECT *, length({_strip('line')}) >= 40 AND row_number() OVER (PARTITION BY doc_id, {_strip('line')} ORDER BY i) > 1 AS again FROM l),
 k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM r WHERE NOT again GROUP BY doc_id)
-SELECT doc_id, md5(CASE WHEN regexp_matches(text, '^\s*[\{\[]') THEN text ELSE coalesce(t, '') END) AS text_md5 FROM documents LEFT JOIN k USING (doc_id)"""
+SELECT doc_id, md5(CASE WHEN regexp_matches(text, '^\s*[\{{\[]') THEN text ELSE coalesce(t, '') END) AS text_md5 FROM documents LEFT JOIN k USING (doc_id)"""
 
 
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +224,7 @@ def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.keep_first(_docs(spark, sf_dir).select("doc_id", "text"), key, "doc_id").select("doc_id")
 
 
-KEEP_FIRST_SQL = "SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(trim(substr(text, 1, 80), ' ') || '||' || substr(text, 1, 160))"
+KEEP_FIRST_SQL = f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5({_strip('substr(text, 1, 80)')} || '||' || substr(text, 1, 160))"
 
 
 def share_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,8 +254,10 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.shape_errors(table(spark, sf_dir, "conversations"))
 
 
-SHAPES_SQL = """WITH r AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role AS same FROM conversations WHERE role <> 'system')
-SELECT conv_id, count(*) AS messages, CASE WHEN bool_or(coalesce(same, false)) THEN 'roles don''t alternate' WHEN arg_max(role, turn) <> 'assistant' THEN 'last message isn''t the assistant''s' WHEN trim(coalesce(arg_max(text, turn), '')) = '' THEN 'last message is empty' END AS fault FROM r GROUP BY conv_id"""
+SHAPES_SQL = f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)
+SELECT conv_id, count(*) AS messages, CASE WHEN count(*) < 3 THEN 'fewer than 3 messages' WHEN coalesce(arg_min(role, r), '') <> 'system' THEN 'first message isn''t the system''s'
+    WHEN bool_or(r > 1 AND coalesce(role, '') <> CASE WHEN r % 2 = 0 THEN 'user' ELSE 'assistant' END) THEN 'roles don''t alternate' WHEN arg_max(role, r) <> 'assistant' THEN 'last message isn''t the assistant''s'
+    WHEN {_strip("coalesce(arg_max(text, r), '')")} = '' THEN 'last message is empty' END AS fault FROM r GROUP BY conv_id"""
 
 
 def reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +265,7 @@ def reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.share_of_groups(d, ["reason"], F.length("text").cast("long"))
 
 
-REASONS_SQL = """WITH r AS (SELECT length(text) AS n, CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 'empty_after_strip' WHEN doc_id % 13 = 0 THEN 'sql_action' WHEN length(trim(text, ' ')) > 12000 THEN 'too_long' WHEN length(trim(text, ' ')) > 1400 THEN 'report_ok' ELSE 'ok' END AS reason FROM documents)
+REASONS_SQL = f"""WITH r AS (SELECT length(text) AS n, CASE WHEN {_strip("coalesce(text, '')")} = '' THEN 'empty_after_strip' WHEN doc_id % 13 = 0 THEN 'sql_action' WHEN length({_strip('text')}) > 12000 THEN 'too_long' WHEN length({_strip('text')}) > 1400 THEN 'report_ok' ELSE 'ok' END AS reason FROM documents)
 SELECT reason, count(*) AS rows, min(n) AS least, round(avg(n), 4) AS mean, max(n) AS largest, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM r GROUP BY reason"""
 
 
