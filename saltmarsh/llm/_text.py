@@ -126,20 +126,22 @@ def give_back() -> None:
         pass
 
 
-def pack(columns: list[np.ndarray]) -> bytes:
-    """Integer columns as compressed differences, byte by byte."""
+def pack(columns: list[np.ndarray], plain: int = 0) -> bytes:
+    """Integer columns as compressed differences, byte by byte; the first ``plain`` ones as they are."""
     with np.errstate(over="ignore"):
-        steps = np.diff(np.stack([x.astype(np.int64) for x in columns]), axis=1, prepend=0)
-        folded = (steps << 1) ^ (steps >> 63)
-    return pa.compress(np.ascontiguousarray(folded.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)).tobytes(), codec="zstd", asbytes=True)
+        whole = np.stack([x.astype(np.int64) for x in columns])
+        steps = np.diff(whole[plain:], axis=1, prepend=0)
+        whole[plain:] = (steps << 1) ^ (steps >> 63)
+    return pa.compress(np.ascontiguousarray(whole.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)).tobytes(), codec="zstd", asbytes=True)
 
 
-def unpack(data: bytes, n: int, width: int) -> list[np.ndarray]:
+def unpack(data: bytes, n: int, width: int, plain: int = 0) -> list[np.ndarray]:
     raw = pa.decompress(data, decompressed_size=8 * n * width, codec="zstd", asbytes=True)
-    folded = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, 8, n).transpose(0, 2, 1)).view(np.uint64)[:, :, 0]
+    whole = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, 8, n).transpose(0, 2, 1)).view(np.uint64)[:, :, 0]
+    folded = whole[plain:]
     with np.errstate(over="ignore"):
         steps = (folded >> np.uint64(1)).view(np.int64) ^ -(folded & np.uint64(1)).view(np.int64)
-        return list(np.cumsum(steps, axis=1))
+        return [*whole[:plain].view(np.int64), *np.cumsum(steps, axis=1)]
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
