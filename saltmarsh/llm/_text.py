@@ -132,7 +132,7 @@ def pack(columns: list[np.ndarray], plain: int = 0) -> bytes:
         whole = np.stack([x.astype(np.int64) for x in columns])
         steps = np.diff(whole[plain:], axis=1, prepend=0)
         whole[plain:] = (steps << 1) ^ (steps >> 63)
-    return pa.compress(np.ascontiguousarray(whole.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)).tobytes(), codec="zstd", asbytes=True)
+    return pa.Codec("zstd", 4).compress(np.ascontiguousarray(whole.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)).tobytes(), asbytes=True)
 
 
 def unpack(data: bytes, n: int, width: int, plain: int = 0) -> list[np.ndarray]:
