@@ -11,6 +11,7 @@ from saltmarsh.llm import oracles
 from saltmarsh.llm._store import new_path
 from saltmarsh.llm.decontamination import find_contained
 from saltmarsh.llm.embedding_dedup import embedding_links
+from saltmarsh.llm.filter_audit import audit_filters
 from saltmarsh.llm.html_extract import extract_text
 from saltmarsh.llm.ngram_join import ngram_classes
 from saltmarsh.llm.sentencepiece_codec import encoded_documents
@@ -79,6 +80,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -90,9 +95,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filter": op10_url_filter,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op2_ngram_join": oracles.OP2,
     "op6_decontamination": oracles.OP6,
+    "op11_filter_audit": oracles.OP11,
 }
