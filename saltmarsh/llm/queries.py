@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from saltmarsh.llm import oracles
 from saltmarsh.llm._store import new_path
 from saltmarsh.llm.decontamination import find_contained
+from saltmarsh.llm.doc_fingerprints import version_likeness
 from saltmarsh.llm.embedding_dedup import embedding_links
 from saltmarsh.llm.filter_audit import audit_filters
 from saltmarsh.llm.html_extract import extract_text
@@ -84,6 +85,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return version_likeness(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filter": op10_url_filter,
     "op11_filter_audit": op11_filter_audit,
+    "op12_document_fingerprints": op12_document_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
