@@ -18,6 +18,7 @@ from saltmarsh.llm.ngram_join import ngram_classes
 from saltmarsh.llm.sentencepiece_codec import encoded_documents
 from saltmarsh.llm.sharding import assign_shards
 from saltmarsh.llm.substring_dedup import repeated_passages
+from saltmarsh.llm.token_alignment import aligned_documents
 from saltmarsh.llm.toxicity import held_out, score, train
 from saltmarsh.llm.url_filter import judge_urls
 from saltmarsh.llm.warc import read_warc, write_warc
@@ -89,6 +90,10 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return version_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_filter_audit": op11_filter_audit,
     "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
