@@ -1,4 +1,4 @@
-"""Chunks, lexical and dense search, and routing of requests."""
+"""Chunks of texts, and routing of requests."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from saltmarsh.functions.text import stripped
 
-K1, B, EPSILON = 1.5, 0.75, 0.25  # Okapi's usual parameters
 THRESHOLD, MARGIN = 0.40, 0.05
 #: Routes with words that decide at once, in this order. Fixed values.
 KEYWORDS = (
@@ -48,65 +47,6 @@ def chunk_chars(df: DataFrame, text: str = "text", size: int = 1200, overlap: in
     return rows.filter(F.length("chunk_text") > least).withColumn("chunk", ((F.col("_start") - 1) / (size - overlap)).cast("int")).drop("_start")
 
 
-def _terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
-    return df.select(key, F.explode(words).alias("term"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, top: int = 5, doc_id: str = "doc_id", query_id: str = "query_id") -> DataFrame:
-    """The ``top`` documents of each query by Okapi BM25; a term's idf below zero becomes a quarter of the mean idf.
-
-    Both have a text column. Only rows of terms that a query has are joined, and scores are summed before ranking.
-    """
-    terms = _terms(docs, doc_id, "text")
-    tf = terms.groupBy(doc_id, "term").agg(F.count("*").alias("tf"))
-    lengths = terms.groupBy(doc_id).agg(F.count("*").alias("dl"))
-    count = docs.agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
-    mean = lengths.agg(F.sum("dl").alias("total")).withColumn("one", F.lit(1))
-    df_ = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("one", F.lit(1)).join(count, "one")
-    idf = df_.select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
-    floor = idf.agg((F.avg("raw") * EPSILON).alias("floor")).withColumn("one", F.lit(1))
-    asked = _terms(queries, query_id, "text").groupBy(query_id, "term").agg(F.count("*").alias("times"))
-    wanted = idf.join(asked, "term").withColumn("one", F.lit(1)).join(floor, "one")
-    wanted = wanted.select(query_id, "term", "times", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    about = lengths.withColumn("one", F.lit(1)).join(mean, "one").join(count, "one").select(doc_id, (F.col("dl") / (F.col("total") / F.col("n"))).alias("relative"))
-    hits = tf.join(wanted, "term").join(about, doc_id)
-    gain = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("relative")))
-    scores = hits.groupBy(query_id, doc_id).agg(F.round(F.sum(gain), 6).alias("score"))
-    return _top(scores, query_id, doc_id, top)
-
-
-def _top(scores: DataFrame, query_id: str, doc_id: str, top: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id))
-    return scores.withColumn("rank", rank).filter(F.col("rank") <= top)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays; a zero length counts as 1e-12."""
-
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-
-    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return dot(a, b) / F.when(size == 0, F.lit(1e-12)).otherwise(size)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, on: str, top: int = 10) -> DataFrame:
-    """The ``top`` vectors (vec_id, embedding) by cosine for each query (query_id, query_vector) with an equal ``on``."""
-    met = vectors.join(queries, on).filter("vec_id <> query_id")
-    scores = met.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("score"))
-    return _top(scores, "query_id", "vec_id", top)
-
-
-def hybrid(dense: DataFrame, lexical: DataFrame, scores: DataFrame, top: int = 5, threshold: float = 0.0) -> DataFrame:
-    """Union of both candidate lists (query_id, doc_id, text), each text once, by a given relevance from ``threshold`` on; joined texts."""
-    some = dense.select("query_id", "doc_id", "text").unionByName(lexical.select("query_id", "doc_id", "text"))
-    some = some.groupBy("query_id", "text").agg(F.min("doc_id").alias("doc_id")).join(scores, ["query_id", "doc_id"]).filter(F.col("score") >= threshold)
-    best = _top(some, "query_id", "doc_id", top)
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])
-    return best.groupBy("query_id").agg(F.array_join(texts, "\n\n---\n\n").alias("context"), F.count("*").alias("n"))
-
-
 def keyword_route(text: Column) -> Column:
     """The first route whose words are in the text; null without any."""
     out = F.lit(None).cast("string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import text as T
-from saltmarsh.operators import corpus, retrieval, sessions
+from saltmarsh.operators import corpus, retrieval, search, sessions
 from saltmarsh.sources.tables import table
 
 WORDS = r"list_filter(regexp_split_to_array({0}, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
@@ -180,7 +180,7 @@ GUARD_SQL = "SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'writes: DROP' WHE
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.bm25(_docs(spark, sf_dir).select("doc_id", "text"), queries)
+    return search.bm25(_docs(spark, sf_dir).select("doc_id", "text"), queries)
 
 
 _LOWER_WORDS = WORDS.format("lower(text)")
@@ -194,27 +194,68 @@ SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER B
 
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    queries = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
-    return retrieval.nearest(v, queries, "label").select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
+    return search.nearest(v, _asked(v)).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
 
 
-NEAREST_SQL = """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, vec_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10"""
+def _asked(vectors: DataFrame) -> DataFrame:
+    """The stated queries of a search: the vectors whose id is divisible by 20."""
+    return vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+_COSINE = """usable AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE len(embedding) > 0 AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+unit AS (SELECT *, sqrt(list_dot_product(v, v)) AS size FROM usable),
+near AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_dot_product(q.v, v.v) / CASE WHEN q.size * v.size = 0 THEN 1e-12 ELSE q.size * v.size END, 6) AS score FROM unit q JOIN unit v ON q.vec_id <> v.vec_id AND len(q.v) = len(v.v) WHERE q.vec_id % 20 = 0)"""
+NEAREST_SQL = f"""WITH {_COSINE}
+SELECT query_id, vec_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near QUALIFY rank <= 10"""
+
+
+def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item asks: its text, and the vector of its id."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    queries = items.join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id", "left")
+    found = search.hybrid_search(_docs(spark, sf_dir).select("doc_id", "text"), v, queries, threshold=0.2)
+    return found.select("query_id", F.md5("context").alias("context_md5"), F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("doc_ids"), F.col("n").cast("long").alias("n"))
+
+
+def _hybrid_sql(lexical: str) -> str:
+    words = "list_distinct({})".format(WORDS.format("lower(coalesce({0}, ''))"))
+    return f"""WITH {_COSINE.replace("WHERE q.vec_id % 20 = 0", "WHERE q.vec_id IN (SELECT item_id FROM benchmark)")},
+dense AS (SELECT query_id, vec_id AS doc_id FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10),
+lexical AS ({lexical}),
+met AS (SELECT query_id, text, min(doc_id) AS doc_id FROM (SELECT query_id, doc_id FROM dense UNION SELECT query_id, doc_id FROM lexical) JOIN documents USING (doc_id) GROUP BY query_id, text),
+worded AS (SELECT query_id, doc_id, m.text, {words.format("b.text")} AS asked, {words.format("m.text")} AS held FROM met m JOIN benchmark b ON b.item_id = query_id),
+scored AS (SELECT *, CASE WHEN len(asked) = 0 THEN 0 ELSE round(len(list_intersect(asked, held)) / len(asked), 6) END AS score FROM worded),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM scored WHERE score >= .2 QUALIFY r <= 3)
+SELECT item_id AS query_id, md5(coalesce(string_agg(r.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r), '')) AS context_md5, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY r), '') AS doc_ids, count(doc_id) AS n
+FROM benchmark LEFT JOIN ranked r ON query_id = item_id GROUP BY item_id"""
+
+
+HYBRID_SQL = _hybrid_sql(BM25_SQL)
+
+ROUTES = ("EXPLAIN", "REPORT", "LOGISTICS", "TECHNICAL", "RETRIEVAL")
 
 
 def router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of label 0 to 4 stand for the routes' examples, those of other labels are asked."""
+    """All vectors of label 0 to 4 are the five routes' examples; the stated queries are asked, each with the document of its id as text."""
     v = table(spark, sf_dir, "embeddings")
-    examples = v.filter("label < 5 AND vec_id % 10 = 0").select(F.concat(F.lit("R"), "label").alias("route"), F.col("embedding").alias("example"), (F.col("vec_id") % 50).alias("block"))
-    asked = v.filter("label >= 5").select(F.col("vec_id").alias("query_id"), "embedding", F.explode(F.array(*[F.lit(i) for i in range(0, 50, 10)])).alias("block"), F.when(F.col("vec_id") % 11 == 0, "báo giá xe 5 tấn").otherwise("xin chào").alias("text"))
-    sims = asked.join(examples, "block").select("query_id", "route", F.round(retrieval.cosine(F.col("embedding"), F.col("example")), 6).alias("similarity"), retrieval.keyword_route(F.col("text")).alias("keyword"))
-    return retrieval.semantic_route(sims, 0.25)
+    examples = v.filter("label < 5").withColumn("route", F.element_at(F.array(*map(F.lit, ROUTES)), F.col("label").cast("int") + 1))
+    near = search.nearest(examples, _asked(v), 1, "route").select("query_id", "route", F.col("score").alias("similarity"))
+    said = _docs(spark, sf_dir).select(F.col("doc_id").alias("query_id"), retrieval.keyword_route(F.col("text")).alias("keyword"))
+    return retrieval.semantic_route(near.join(said, "query_id", "left"))
+
+
+def _keyword_sql() -> str:
+    quoted = lambda p: p.replace("'", "''")
+    return "CASE " + " ".join(f"WHEN regexp_matches(text, '{quoted(p)}', 'i') THEN '{route}'" for route, p in retrieval.KEYWORDS) + " END"
 
 
-ROUTER_SQL = """WITH s AS (SELECT q.vec_id AS query_id, 'R' || e.label AS route, max(round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6)) AS sim FROM embeddings q, embeddings e WHERE q.label >= 5 AND e.label < 5 AND e.vec_id % 10 = 0 GROUP BY 1, 2),
+ROUTER_SQL = f"""WITH {_COSINE},
+s AS (SELECT query_id, CASE label {" ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(ROUTES))} END AS route, max(score) AS sim FROM near WHERE label < 5 GROUP BY 1, 2),
 r AS (SELECT query_id, route, sim, coalesce(lead(sim) OVER w, 0) AS nxt, row_number() OVER w AS r FROM s WINDOW w AS (PARTITION BY query_id ORDER BY sim DESC, route)),
-m AS (SELECT query_id, route, round(sim, 4) AS score, round(sim - nxt, 4) AS gap, CASE WHEN query_id % 11 = 0 THEN 'keyword' WHEN sim < .25 THEN 'below_threshold' WHEN round(sim - nxt, 4) < .05 THEN 'narrow_margin' ELSE 'semantic' END AS method FROM r WHERE r = 1)
-SELECT query_id, CASE method WHEN 'keyword' THEN 'LOGISTICS' WHEN 'semantic' THEN route ELSE 'GENERAL' END AS category, CASE WHEN method = 'keyword' THEN 1 ELSE score END AS score, gap, method FROM m"""
+k AS (SELECT doc_id, {_keyword_sql()} AS keyword FROM documents),
+m AS (SELECT query_id, route, keyword, round(sim, 4) AS score, round(sim - nxt, 4) AS gap, CASE WHEN keyword IS NOT NULL THEN 'keyword' WHEN sim < .4 THEN 'below_threshold' WHEN round(sim - nxt, 4) < .05 THEN 'narrow_margin' ELSE 'semantic' END AS method FROM r LEFT JOIN k ON doc_id = query_id WHERE r = 1)
+SELECT query_id, CASE method WHEN 'keyword' THEN keyword WHEN 'semantic' THEN route ELSE 'GENERAL' END AS category, CASE WHEN method = 'keyword' THEN 1 ELSE score END AS score, gap, method FROM m"""
 
 # ---- corpus --------------------------------------------------------------------------------------------------
 
@@ -306,6 +347,7 @@ QUERIES = {
     "sql_guard": guard,
     "bm25_topk": bm25,
     "cosine_topk": nearest,
+    "hybrid_search": hybrid,
     "router_margin": router,
     "dedup_keep_first": keep_first,
     "share_cap": share_cap,
@@ -334,6 +376,7 @@ ORACLES = {
     "sql_guard": GUARD_SQL,
     "bm25_topk": BM25_SQL,
     "cosine_topk": NEAREST_SQL,
+    "hybrid_search": HYBRID_SQL,
     "router_margin": ROUTER_SQL,
     "dedup_keep_first": KEEP_FIRST_SQL,
     "share_cap": SHARE_CAP_SQL,
