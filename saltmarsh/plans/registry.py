@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.plans import business, events, text
+from saltmarsh.plans import business, events, extraction, text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**business.QUERIES, **text.QUERIES, **events.QUERIES}
-ORACLES: dict[str, str] = {**business.ORACLES, **text.ORACLES, **events.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**business.QUERIES, **text.QUERIES, **events.QUERIES, **extraction.QUERIES}
+ORACLES: dict[str, str] = {**business.ORACLES, **text.ORACLES, **events.ORACLES, **extraction.ORACLES}
