@@ -6,7 +6,8 @@ among a partition's best.
 
 Lexical: one pass over the texts counts each term's documents and keeps, of each document, the terms that some query has. A term's largest gain
 bounds what it can add. Rare terms give each query a score that its k-th document surely reaches; documents that hold only terms whose bounds sum
-to less can't be among the first k, so common terms never pair documents with queries.
+to less can't be among the first k, so common terms never pair documents with queries. Documents are scored where they are; a task hands on
+its best of each query only.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from saltmarsh.sources.shared import saved
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # Okapi's usual parameters
 BLOCK_BYTES = 32 << 20  # of query vectors that meet the others at a time
+TEXT = 4 << 20  # bytes of texts that are split at a time
+DOCS = 512  # documents that are scored at a time
 PRODUCT = 4 << 20  # cosines held at a time
-BLOCK_TERMS = 1_000_000  # of the queries that meet the texts at a time
+BLOCK_TERMS = 200_000  # (query, term) rows of the queries that meet the texts at a time
 SEED_DOCS = 2_000  # documents of the rare terms that a query's first bound is taken from, or those of its rarest term
 SLACK = 1e-5  # more than rounding can change
 
@@ -59,7 +62,10 @@ class _Best:
             self.least = np.pad(self.least, ((0, 0), (0, len(self.groups) - self.least.shape[1])), constant_values=-np.inf)
         codes = np.array([self.groups[g] for g in groups], np.int64)
         query, vector = np.nonzero(scores >= self.least[:, codes])
-        self.parts.append((query, codes[vector], scores[query, vector], ids[vector]))
+        self.push(query, codes[vector], scores[query, vector], ids[vector])
+
+    def push(self, query: np.ndarray, codes: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        self.parts.append((query, codes, scores, ids))
         self.size += len(query)
         if self.size > max(PRODUCT, 4 * self.n * self.top * len(self.groups)):
             self.settle()
@@ -148,6 +154,15 @@ def _counted(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nda
     return coded.dictionary, key[first] >> 32, key[first] & 0xFFFFFFFF, times, np.bincount(row, minlength=len(column)).astype(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with TEXT bytes of text or so, or with one long text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // TEXT, prepend=-1, append=-1))
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(at, end - at)
+
+
 _SEEN = "kind int, doc_id long, dl long, term string, n long, terms array<struct<term:string,tf:long>>"
 _TOTAL, _TERM, _DOC = 0, 1, 2
 
@@ -168,7 +183,7 @@ def _seen(docs: DataFrame, doc_id: str, vocabulary: pa.Array) -> DataFrame:
         def summed() -> pa.Table:
             return pa.concat_tables(parts).group_by("term", use_threads=False).aggregate([("n", "sum")]).rename_columns(["term", "n"])
 
-        for b in batches:
+        for b in _slices(batches, 1):
             terms, row, code, times, dl = _counted(b.column(1))
             docs_n, words_n = docs_n + b.num_rows, words_n + int(dl.sum())
             parts.append(pa.table({"term": terms.cast(pa.string()), "n": np.bincount(code, minlength=len(terms)).astype(np.int64)}))
@@ -196,7 +211,7 @@ def _asked_terms(queries: DataFrame, query_id: str) -> DataFrame:
     """(query_id, term, times) of the queries' texts, split as documents are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, 1):
             terms, row, code, times, _ = _counted(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), terms.take(pa.array(code)).cast(pa.string()), pa.array(times.astype(np.int64))], names=["query_id", "term", "times"])
 
@@ -220,37 +235,101 @@ def bm25(docs: DataFrame, queries: DataFrame, top: int = 5, doc_id: str = "doc_i
     return found.select(F.col("query_id").alias(query_id), F.col("doc_id").alias(doc_id), "score", "rank")
 
 
+class _Weights:
+    """The terms of a block of queries: weights, and which terms bring a document into question."""
+
+    def __init__(self, queries: np.ndarray, vocabulary: pa.Array, query: np.ndarray, code: np.ndarray, weight: np.ndarray, needed: np.ndarray):
+        self.queries, self.vocabulary = queries, vocabulary
+        order = np.lexsort((code, query))
+        self.key, self.weight = query[order] * len(vocabulary) + code[order], weight[order]
+        by_code = np.argsort(code[needed], kind="stable")
+        self.needing = query[needed][by_code]
+        self.starts = np.searchsorted(code[needed][by_code], np.arange(len(vocabulary) + 1))
+
+
+def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each index as often as its size says, and the place within its own run."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _scored(forward: DataFrame, weights: _Weights, mean: float, top: int) -> DataFrame:
+    """(query_id, doc_id, score): each task's best documents of each query, of those that hold a needed term."""
+    held = forward.sparkSession.sparkContext.broadcast(weights)  # BLOCK_TERMS rows at most, or one query's
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = held.value
+        n = len(w.vocabulary)
+        best = _Best(len(w.queries), top)
+        best.groups, best.least = {None: 0}, np.full((len(w.queries), 1), -np.inf)
+        for batch in (b.slice(at, DOCS) for b in batches for at in range(0, b.num_rows, DOCS)):
+            terms = batch.column(2).flatten()
+            code = pc.index_in(terms.field("term"), value_set=w.vocabulary).to_numpy()
+            bounds = batch.column(2).offsets.to_numpy()
+            bounds = bounds - bounds[0]
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            tf, dl = terms.field("tf").to_numpy(), batch.column(1).to_numpy()[doc]
+            gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+            ids = batch.column(0).to_numpy()
+            which, place = _spread(w.starts[code + 1] - w.starts[code])
+            pairs = np.unique(doc[which] * len(w.queries) + w.needing[w.starts[code[which]] + place])
+            pair_doc, pair_query = pairs // len(w.queries), pairs % len(w.queries)
+            for at in range(0, len(pairs), 1 << 14):
+                d, q = pair_doc[at : at + (1 << 14)], pair_query[at : at + (1 << 14)]
+                which, place = _spread(np.diff(bounds)[d])
+                posting = bounds[d][which] + place
+                key = q[which] * n + code[posting]
+                found = np.minimum(np.searchsorted(w.key, key), len(w.key) - 1)
+                score = np.bincount(which, np.where(w.key[found] == key, w.weight[found] * gain[posting], 0.0), len(d))
+                score = np.round(score, 6)
+                good = score >= best.least[q, 0]
+                best.push(q[good], np.zeros(int(good.sum()), np.int64), score[good], ids[d[good]])
+        query, _, score, ids = best.settle()
+        yield pa.RecordBatch.from_arrays([pa.array(w.queries[query], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "doc_id", "score"])
+
+    return forward.mapInArrow(run, "query_id long, doc_id long, score double")
+
+
 def _block_bm25(docs: DataFrame, asked: DataFrame, top: int, doc_id: str) -> DataFrame:
-    vocabulary = asked.select("term").distinct().toArrow().column(0).combine_chunks()  # BLOCK_TERMS or a few more
+    vocabulary = asked.select("term").distinct().toArrow().column(0).combine_chunks()
     seen = saved(_seen(docs, doc_id, vocabulary), "terms")
-    totals = seen.filter(F.col("kind") == _TOTAL).agg(F.sum("n").alias("docs"), F.sum("dl").alias("words"))
+    n, words = seen.filter(F.col("kind") == _TOTAL).agg(F.sum("n"), F.sum("dl")).first()
+    none = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    if not words:
+        return none
+    forward = seen.filter((F.col("kind") == _DOC) & F.col("doc_id").isNotNull()).select("doc_id", "dl", "terms")
     dfs = seen.filter(F.col("kind") == _TERM).groupBy("term").agg(F.sum("n").alias("df"))
-    one = F.lit(1).alias("one")
-    raw = dfs.select("*", one).join(F.broadcast(totals.select("docs", one)), "one").select("term", "df", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
-    floor = raw.agg((F.avg("raw") * EPSILON).alias("floor")).select("floor", one)
-    weight = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
-    wanted = raw.join(asked, "term").select("*", one).join(F.broadcast(floor), "one").select("query_id", "term", "df", (F.col("times") * weight).alias("weight"))
-
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("words") / F.col("docs"))))
-    forward = seen.filter((F.col("kind") == _DOC) & F.col("doc_id").isNotNull()).select("doc_id", "dl", "terms", one).join(F.broadcast(totals.select("docs", "words", one)), "one")
-    postings = forward.select("doc_id", "dl", "docs", "words", F.inline("terms")).select("doc_id", "term", gain.alias("gain"))
-    bounds = postings.groupBy("term").agg(F.max("gain").alias("most"))
-    rows = wanted.join(bounds, "term").withColumn("bound", F.greatest(F.lit(0.0), F.col("weight") * F.col("most")))
-
-    # what the k-th document of each query reaches by its rare terms alone; unknown where a weight is below zero
-    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
-    rows = saved(rows.select("*", F.sum("df").over(by_bound.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.row_number().over(by_bound).alias("place"), F.min("weight").over(Window.partitionBy("query_id")).alias("least")), "weights")
-    seeds = rows.filter(((F.col("upto") <= SEED_DOCS) | (F.col("place") == 1)) & (F.col("least") >= 0))
-    partial = postings.join(seeds.select("term", "query_id", "weight"), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("gain")).alias("score"))
-    kth = partial.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("rank") == top).select("query_id", F.col("score").alias("reached"))
-    after = by_bound.rowsBetween(0, Window.unboundedFollowing)
-    needed = rows.withColumn("rest", F.sum("bound").over(after)).join(kth, "query_id", "left").filter(F.col("reached").isNull() | (F.col("rest") >= F.col("reached") - SLACK))
-
-    pairs = postings.join(needed.select("term", "query_id"), "term").select("query_id", "doc_id").distinct()
-    weights = rows.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))
-    met = pairs.join(forward, "doc_id").join(weights, "query_id").select("query_id", "doc_id", "dl", "docs", "words", "weights", F.inline("terms"))
-    scores = met.withColumn("weight", F.try_element_at("weights", F.col("term"))).filter(F.col("weight").isNotNull()).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * gain), 6).alias("score"))
-    return best(scores, "query_id", "doc_id", top)
+    raw = dfs.select("term", "df", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    floor = raw.agg(F.avg("raw")).first()[0] * EPSILON
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(words / n)))
+    bounds = forward.select("dl", F.inline("terms")).groupBy("term").agg(F.max(gain).alias("most"))
+    told = raw.join(asked, "term").join(bounds, "term").toArrow().combine_chunks()  # BLOCK_TERMS rows at most, or one query's
+    if not told.num_rows:
+        return none
+    names, query = np.unique(told.column("query_id").to_numpy(), return_inverse=True)
+    code = pc.index_in(told.column("term").combine_chunks(), value_set=vocabulary).to_numpy()
+    idf = told.column("raw").to_numpy()
+    weight = told.column("times").to_numpy() * np.where(idf < 0, floor, idf)
+    bound = np.maximum(0.0, weight * told.column("most").to_numpy())
+
+    order = np.lexsort((code, -bound, query))
+    query, code, weight, bound, df = (x[order] for x in (query, code, weight, bound, told.column("df").to_numpy()))
+    first = np.append(True, query[1:] != query[:-1])
+    start = np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
+    upto = np.cumsum(df) - (np.cumsum(df) - df)[start]
+    sums = np.append(0.0, np.cumsum(bound))
+    end = np.append(np.flatnonzero(first)[1:], len(query))[query]
+    rest = sums[end] - sums[np.arange(len(query))]  # the bounds of this term and those behind it
+
+    # what the k-th document of each query reaches by its rare terms alone; nothing is known where a weight is below zero
+    seeds = ((upto <= SEED_DOCS) | first) & (np.bincount(query, weight < 0)[query] == 0)
+    reached = np.full(len(names), -np.inf)
+    if seeds.any():
+        partial = _scored(forward, _Weights(names, vocabulary, query[seeds], code[seeds], weight[seeds], np.ones(int(seeds.sum()), bool)), words / n, top)
+        kth = best(partial, "query_id", "doc_id", top).filter(F.col("rank") == top).select("query_id", "score").toArrow()  # one row a query
+        reached[np.searchsorted(names, kth.column(0).to_numpy())] = kth.column(1).to_numpy()
+    found = _scored(forward, _Weights(names, vocabulary, query, code, weight, rest >= reached[query] - SLACK), words / n, top)
+    return best(found, "query_id", "doc_id", top)
 
 
 def best(scores: DataFrame, query_id: str, doc_id: str, top: int) -> DataFrame:
