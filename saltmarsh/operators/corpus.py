@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from saltmarsh.functions.text import stripped
+from saltmarsh.operators.selection import ranked_by_hash
 
 MAX_REPORT_CHARS, MAX_ANSWER_CHARS = 12_000, 1_400
 OLD_SHARE, EVAL_SHARE = 0.55, 0.08
@@ -39,9 +40,8 @@ def share_cap(df: DataFrame, old: Column, key: str, share: float = OLD_SHARE) ->
 
 def stratified_split(df: DataFrame, stratum: str, key: str, share: float = EVAL_SHARE) -> DataFrame:
     """Add ``split``: of each stratum ``share`` of the rows, one at least, are eval, those with the smallest hash."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string")), key))
-    size = F.count("*").over(Window.partitionBy(stratum))
-    return df.withColumn("split", F.when(rank <= F.greatest(F.lit(1), F.floor(size * share)), "eval").otherwise("train"))
+    rows = ranked_by_hash(df, [stratum], key)
+    return rows.withColumn("split", F.when(F.col("_place") <= F.greatest(F.lit(1), F.floor(F.col("_size") * share)), "eval").otherwise("train")).select(*df.columns, "split")
 
 
 def fingerprint(df: DataFrame, keys: list[str], item: Column) -> DataFrame:

@@ -34,19 +34,6 @@ def overdue(debts: DataFrame, as_of: str) -> DataFrame:
     return rows.filter(F.col("status").isin("open", "partial") & (F.col("days_late") > 0) & (F.col("remaining") > 0)).orderBy(F.desc("days_late"))
 
 
-def allocate_fefo(lots: DataFrame, needs: DataFrame) -> DataFrame:
-    """Take each sku's need from its lots, the earliest expiry first; where all lots are too few nothing is taken.
-
-    lots: sku, lot, expiry, qty; needs: sku, need. Returns the lots with ``taken`` and ``enough``.
-    """
-    order = Window.partitionBy("sku").orderBy("expiry", "lot")
-    before = F.coalesce(F.sum("qty").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("qty").over(Window.partitionBy("sku"))
-    rows = lots.join(needs, "sku").withColumn("_before", before).withColumn("enough", total >= F.col("need"))
-    taken = F.when(F.col("enough"), F.greatest(F.lit(0), F.least(F.col("qty"), F.col("need") - F.col("_before")))).otherwise(F.lit(0))
-    return rows.withColumn("taken", taken).drop("_before")
-
-
 def low_stock(stock: DataFrame) -> DataFrame:
     """Products below their own threshold."""
     return stock.filter(F.col("stock") < F.col("threshold"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from saltmarsh.functions.text import stripped
+from saltmarsh.operators.selection import index_percentile
 
 MAX_CHARS, LIMIT = 1200, 6
 CUT_MARK = " […đã rút gọn]"  # fixed value
@@ -14,8 +15,8 @@ CUT_MARK = " […đã rút gọn]"  # fixed value
 
 def latest_session(sessions: DataFrame) -> DataFrame:
     """Each user's session with the latest ``last_active``, of all workspaces."""
-    order = Window.partitionBy("user_id").orderBy(F.desc("last_active"), F.desc("session_id"))
-    return sessions.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    last = F.max_by(F.struct(*sessions.columns), F.struct("last_active", "session_id"))
+    return sessions.groupBy(F.col("user_id").alias("_u")).agg(last.alias("_row")).select("_row.*")
 
 
 def login_state(memberships: DataFrame) -> DataFrame:
@@ -59,19 +60,6 @@ def newest(rows: DataFrame, order: str, keep: int) -> DataFrame:
     return rows.orderBy(F.desc(order)).limit(keep)
 
 
-def index_percentile(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], offset: int = 0) -> DataFrame:
-    """Values at place floor(share * n) - offset of the sorted ones, never between two; nulls don't count."""
-    rows = rows.filter(F.col(value).isNotNull())
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-
-    def at(share: float) -> Column:
-        place = F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.floor(F.lit(share) * F.col("_n")) - offset))
-        return F.max(F.when(F.col("_i") == place, F.col(value)))
-
-    return ranked.groupBy(*keys).agg(F.max("_n").alias("n"), *[at(share).alias(name) for name, share in shares.items()])
-
-
 def metrics_summary(turns: DataFrame, keys: list[str]) -> DataFrame:
     """Rates and latencies of turns (ok, latency, asked_back, workflow_valid): of nullable flags only where they are known."""
     rates = turns.groupBy(*keys).agg(
@@ -81,4 +69,5 @@ def metrics_summary(turns: DataFrame, keys: list[str]) -> DataFrame:
         F.round(F.avg(F.col("workflow_valid").cast("int")), 4).alias("workflow_valid_rate"),
         F.max("latency").alias("max_latency"),
     )
-    return rates.join(index_percentile(turns, keys, "latency", {"p50": 0.5, "p95": 0.95}).drop("n"), keys)
+    places = index_percentile(turns, keys, "latency", {"p50": 0.5, "p95": 0.95}).select(F.struct(*keys).alias("_k"), "p50", "p95")
+    return rates.withColumn("_k", F.struct(*keys)).join(places, "_k", "left").drop("_k")

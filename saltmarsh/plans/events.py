@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from saltmarsh.functions.money import money
 from saltmarsh.functions.text import missing_fields
-from saltmarsh.operators import carriers, demand, rules
+from saltmarsh.operators import carriers, demand, rules, selection
 from saltmarsh.sources.tables import new_rows, overlay, table
 
 AS_OF = "2001-06-15"
@@ -33,13 +33,15 @@ SELECT id, amount - paid AS remaining, date_diff('day', due, DATE '{AS_OF}') AS
 def fefo(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     lots = l.select(F.col("l_partkey").alias("sku"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("lot"), F.to_date("l_shipdate").alias("expiry"), F.col("l_quantity").cast("long").alias("qty"))
-    needs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), (F.col("p_partkey") % 1200).alias("need"))
-    return rules.allocate_fefo(lots, needs).select("sku", "lot", "taken", "enough")
+    needs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), (F.col("p_size") * 20).alias("need"), F.length("p_name").alias("gift"))
+    return selection.allocate_fefo(lots, needs, F.to_date(F.lit(AS_OF))).select("sku", "lot", "taken", "gift_taken", "enough", "near_expiry")
 
 
-FEFO_SQL = """WITH l AS (SELECT l_partkey AS sku, l_orderkey || '-' || l_linenumber AS lot, l_shipdate::DATE AS expiry, l_quantity::BIGINT AS qty, l_partkey % 1200 AS need FROM lineitem),
-b AS (SELECT *, coalesce(sum(qty) OVER (PARTITION BY sku ORDER BY expiry, lot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(qty) OVER (PARTITION BY sku) >= need AS enough FROM l)
-SELECT sku, lot, (CASE WHEN enough THEN greatest(0, least(qty, need - before)) ELSE 0 END)::BIGINT AS taken, enough FROM b"""
+FEFO_SQL = f"""WITH l AS (SELECT l_partkey AS sku, l_orderkey || '-' || l_linenumber AS lot, l_shipdate::DATE AS expiry, l_quantity::BIGINT AS qty, p_size * 20 AS need, length(p_name) AS gift FROM lineitem JOIN part ON p_partkey = l_partkey),
+b AS (SELECT *, coalesce(sum(qty) OVER (PARTITION BY sku ORDER BY expiry, lot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    coalesce(sum(qty) OVER (PARTITION BY sku ORDER BY expiry DESC, lot DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after, sum(qty) OVER (PARTITION BY sku) >= need + gift AS enough FROM l),
+t AS (SELECT *, (CASE WHEN enough THEN greatest(0, least(qty, need - before)) ELSE 0 END)::BIGINT AS taken, (CASE WHEN enough THEN greatest(0, least(qty, gift - after)) ELSE 0 END)::BIGINT AS gift_taken FROM b)
+SELECT sku, lot, taken, gift_taken, enough, taken + gift_taken > 0 AND expiry < DATE '{AS_OF}' + 90 AS near_expiry FROM t"""
 
 
 def idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import text as T
-from saltmarsh.operators import corpus, retrieval, search, sessions
+from saltmarsh.operators import corpus, retrieval, search, selection, sessions
 from saltmarsh.sources.tables import table
 
 WORDS = r"list_filter(regexp_split_to_array({0}, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
@@ -90,7 +90,7 @@ SELECT route, count(*) AS turns, round(avg(ok::INT), 4) AS ok_rate, round(avg(as
 
 
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.index_percentile(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}, 1)
+    return selection.index_percentile(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}, 1)
 
 
 PERCENTILES_SQL = """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
@@ -241,7 +241,7 @@ def router(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     examples = v.filter("label < 5").withColumn("route", F.element_at(F.array(*map(F.lit, ROUTES)), F.col("label").cast("int") + 1))
     near = search.nearest(examples, _asked(v), 1, "route").select("query_id", "route", F.col("score").alias("similarity"))
-    said = _docs(spark, sf_dir).select(F.col("doc_id").alias("query_id"), retrieval.keyword_route(F.col("text")).alias("keyword"))
+    said = _docs(spark, sf_dir).filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), retrieval.keyword_route(F.col("text")).alias("keyword"))
     return retrieval.semantic_route(near.join(said, "query_id", "left"))
 
 

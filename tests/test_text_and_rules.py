@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import text as T
-from saltmarsh.operators import corpus, retrieval, rules, sessions
+from saltmarsh.operators import corpus, retrieval, rules, selection, sessions
 from saltmarsh.sources import sinks, tables
 from saltmarsh.streaming import flows
 
@@ -74,7 +74,7 @@ def test_split_and_cap(spark):
 def test_fefo_refuses_when_short(spark):
     lots = spark.createDataFrame([("a", "1", "2026-01-02", 5), ("a", "2", "2026-01-01", 3), ("b", "3", "2026-01-01", 1)], "sku string, lot string, expiry string, qty int")
     needs = spark.createDataFrame([("a", 4), ("b", 2)], "sku string, need int")
-    got = {r.lot: r.taken for r in rules.allocate_fefo(lots, needs).collect()}
+    got = {r.lot: r.taken for r in selection.allocate_fefo(lots, needs).collect()}
     assert got == {"2": 3, "1": 1, "3": 0}
 
 
