@@ -64,16 +64,6 @@ def to_buy(bom: DataFrame, plan: DataFrame, stock: DataFrame) -> DataFrame:
     return rows.withColumn("to_buy", F.greatest(F.lit(0), F.col("need") - F.col("on_hand")))
 
 
-def price_as_of(events: DataFrame, prices: DataFrame, key: str) -> DataFrame:
-    """Each event with the latest price of its key not after it. Both sides are one time line, so nothing is paired."""
-    row = F.struct(*events.columns)
-    kind = events.select(row.alias("r")).schema["r"].dataType
-    asked = events.select(key, "ts", F.lit(1).alias("_e"), row.alias("_row"), F.lit(None).cast(prices.schema["price"].dataType).alias("_p"))
-    line = asked.unionByName(prices.select(key, "ts", F.lit(0).alias("_e"), F.lit(None).cast(kind).alias("_row"), F.col("price").alias("_p")))
-    order = Window.partitionBy(key).orderBy("ts", "_e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return line.withColumn("price", F.last("_p", ignorenulls=True).over(order)).filter("_e = 1").select("_row.*", "price")
-
-
 def grouped_profit(sales: DataFrame, keys: list[str]) -> DataFrame:
     """Revenue, cost and profit by every prefix of the keys (rollup)."""
     rows = sales.rollup(*keys).agg(F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost"), F.grouping_id().alias("level"))

@@ -60,6 +60,17 @@ def newest(rows: DataFrame, order: str, keep: int) -> DataFrame:
     return rows.orderBy(F.desc(order)).limit(keep)
 
 
+def registry(updates: DataFrame, capacity: int = 1000) -> DataFrame:
+    """The newest ``capacity`` tasks of each owner by the time they first came, with their latest status: an update keeps its task's place.
+
+    updates: owner, seq, task_id, status. Equal to the stream's registry as long as no task returns after its eviction. Tasks are aggregated first, so
+    only (owner, task) rows are ranked; a task comes at its smallest ``seq``.
+    """
+    tasks = updates.groupBy("owner", "task_id").agg(F.min("seq").alias("since"), F.max_by("status", "seq").alias("status"))
+    order = Window.partitionBy("owner").orderBy(F.desc("since"), F.desc("task_id"))
+    return tasks.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= capacity).drop("_r")
+
+
 def metrics_summary(turns: DataFrame, keys: list[str]) -> DataFrame:
     """Rates and latencies of turns (ok, latency, asked_back, workflow_valid): of nullable flags only where they are known."""
     rates = turns.groupBy(*keys).agg(

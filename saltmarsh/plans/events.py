@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from saltmarsh.functions.money import money
 from saltmarsh.functions.text import missing_fields
-from saltmarsh.operators import carriers, demand, rules, selection
+from saltmarsh.operators import carriers, demand, quotes, rules, selection, sessions, tracing
 from saltmarsh.sources.tables import new_rows, overlay, table
 
 AS_OF = "2001-06-15"
@@ -129,7 +129,7 @@ def fuel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each purchase with the latest view's value of its user as price."""
     e = table(spark, sf_dir, "events")
     prices = e.filter("event_type = 'view'").select("user_id", "ts", F.col("value").alias("price"))
-    return rules.price_as_of(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), prices, "user_id").select("event_id", "price")
+    return quotes.price_as_of(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), prices, "user_id").select("event_id", "price")
 
 
 FUEL_SQL = """SELECT e.event_id, p.value AS price FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') p ON e.user_id = p.user_id AND e.ts >= p.ts"""
@@ -223,6 +223,83 @@ e AS (SELECT *, abs(n - CASE WHEN m <= 5 THEN first_value(n) OVER w ELSE lag(n,
 SELECT o_custkey, CASE WHEN avg(naive) > 1e-9 THEN round(avg(err) / avg(naive), 4) END AS mase FROM e GROUP BY o_custkey"""
 
 
+def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders ask for a vehicle on their day; lines are offers of their supplier, rules go by market segment, and fuel is a day's mean view."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    vehicle = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").when(F.col("o_orderpriority") != "5-LOW", "R")
+    requests = o.select(F.col("o_orderkey").alias("request_id"), vehicle.alias("vehicle_type"), F.col("c_mktsegment").alias("cargo_type"), F.to_date("o_orderdate").alias("day"))
+    day = F.to_date("l_shipdate")
+    until = F.when((F.col("l_discount") > 0) | (F.col("l_tax") > 0), F.date_add(day, F.col("l_quantity").cast("int")))
+    offers = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("carrier_id"), F.col("l_returnflag").alias("vehicle_type"), F.col("l_extendedprice").alias("price"), day.alias("valid_from"), until.alias("valid_to"))
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.min("c_custkey").alias("place"), F.round(F.avg("c_acctbal") / 100, 4).alias("base_margin_pct"))
+    rules_ = c.filter("name <> 'MACHINERY'").select("*", *[F.lit(None).cast("double").alias(x) for x in ("fuel_sensitivity", "fuel_baseline_price", "min_margin_amount", "surcharge_amount", "surcharge_pct")], F.lit(None).cast("string").alias("surcharge_name"))
+    e = table(spark, sf_dir, "events").filter("event_type = 'view'").groupBy(F.to_date("ts").alias("date")).agg(F.round(F.avg("value"), 4).alias("price"))
+    fuel = e.select(F.lit("diesel").alias("fuel_type"), F.add_months("date", -60).alias("date"), "price")
+    found = quotes.assemble(requests, offers, rules_, fuel)
+    return found.select("request_id", "n_offers", "rule_name", "error", "carrier_id", "carrier_cost", "base_margin_pct", "fuel_sensitivity", F.col("current_fuel_price").alias("fuel_price"))
+
+
+ASSEMBLED_SQL = """WITH rules AS (SELECT c_mktsegment AS name, min(c_custkey) AS place, round(avg(c_acctbal) / 100, 4) AS margin FROM customer WHERE c_mktsegment <> 'MACHINERY' GROUP BY 1),
+fuel AS (SELECT (ts::DATE - INTERVAL 60 MONTH)::DATE AS day, round(avg(value), 4) AS price FROM events WHERE event_type = 'view' GROUP BY ts::DATE),
+requests AS (SELECT o_orderkey AS request_id, CASE WHEN o_orderstatus = 'F' THEN 'A' WHEN o_orderstatus = 'O' THEN 'N' WHEN o_orderpriority <> '5-LOW' THEN 'R' END AS vehicle, c_mktsegment AS cargo, o_orderdate::DATE AS day FROM orders JOIN customer ON o_custkey = c_custkey),
+offers AS (SELECT l_suppkey AS carrier, l_returnflag AS vehicle, l_extendedprice AS price, l_shipdate::DATE AS since, CASE WHEN l_discount > 0 OR l_tax > 0 THEN l_shipdate::DATE + l_quantity::INT ELSE DATE '9999-01-01' END AS until FROM lineitem),
+days AS (SELECT DISTINCT vehicle, day FROM requests WHERE vehicle IS NOT NULL),
+met AS (SELECT d.vehicle, d.day, count(*) AS n_offers, arg_min(carrier, (price, carrier)) AS carrier, min(price) AS price FROM days d JOIN offers o ON o.vehicle = d.vehicle AND d.day BETWEEN since AND until GROUP BY 1, 2),
+told AS (SELECT r.*, m.n_offers, m.carrier, m.price, coalesce(x.name, f.name) AS rule_name, coalesce(x.margin, f.margin) AS margin,
+    CASE WHEN r.vehicle IS NULL THEN 'missing: vehicle_type' WHEN m.carrier IS NULL THEN 'no carrier fits' END AS error
+    FROM requests r LEFT JOIN met m ON m.vehicle = r.vehicle AND m.day = r.day LEFT JOIN rules x ON x.name = cargo, (SELECT * FROM rules ORDER BY place LIMIT 1) f)
+SELECT request_id, coalesce(n_offers, 0) AS n_offers, rule_name, error, CASE WHEN error IS NULL THEN carrier END AS carrier_id, CASE WHEN error IS NULL THEN t.price END AS carrier_cost,
+    CASE WHEN error IS NULL THEN margin END AS base_margin_pct, CASE WHEN error IS NULL THEN 0.35::DOUBLE END AS fuel_sensitivity, CASE WHEN error IS NULL THEN u.price END AS fuel_price
+FROM told t ASOF LEFT JOIN fuel u ON t.day >= u.day"""
+
+
+def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events approve the order whose number is a third of theirs; orders are drafts, pending ones those that are open."""
+    drafts = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("draft_id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise(F.lower("o_orderstatus")).alias("status"), F.when(F.col("c_acctbal") > 0, F.concat(F.lower("c_name"), F.lit("@shop.example"))).alias("customer_email")
+    )
+    asked = table(spark, sf_dir, "events").select(F.col("event_id").alias("approval_id"), F.floor(F.col("event_id") / 3).alias("draft_id"), "ts")
+    return quotes.approve(asked, drafts).select("approval_id", "draft_id", "outcome")
+
+
+APPROVALS_SQL = """WITH a AS (SELECT event_id AS approval_id, event_id // 3 AS draft_id, row_number() OVER (PARTITION BY event_id // 3 ORDER BY ts, event_id) AS r FROM events),
+d AS (SELECT o_orderkey AS draft_id, o_orderstatus AS status, c_acctbal > 0 AS reachable FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT approval_id, draft_id, CASE WHEN status IS NULL THEN 'not_found' WHEN status <> 'O' THEN 'already' WHEN NOT reachable THEN 'no_email' WHEN r > 1 THEN 'already' ELSE 'sent' END AS outcome FROM a LEFT JOIN d USING (draft_id)"""
+
+
+def traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are batches, tested by their lines' figures; parts are lots, each mixed of the part whose number is its size; farmers are suppliers."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    measured = F.inline(F.array(*[F.struct(F.lit(n).alias("criterion"), F.col(c).alias("value"), F.lit(lo).cast("double").alias("low"), F.lit(hi).cast("double").alias("high")) for n, c, lo, hi in (("discount", "l_discount", None, 0.09), ("tax", "l_tax", 0.0, 0.07), ("quantity", "l_quantity", 2.0, 49.0))]))
+    tests = l.select(F.col("l_orderkey").alias("batch"), measured)
+    made_of = l.select(F.col("l_orderkey").alias("batch"), F.col("l_partkey").alias("lot"))
+    mixed = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("lot"), F.col("p_size").cast("long").alias("from_lot"))
+    found = tracing.trace_batches(tests, made_of, mixed, l.select(F.col("l_partkey").alias("lot"), F.col("l_suppkey").alias("farmer")))
+    return found.withColumn("reasons", F.array_join("reasons", "; "))
+
+
+TRACED_SQL = """WITH RECURSIVE tests AS (SELECT l_orderkey AS batch, unnest(['discount: not in ..0.0900', 'tax: not in 0.0000..0.0700', 'quantity: not in 2.0000..49.0000']) AS reason, unnest([l_discount <= .09, l_tax BETWEEN 0 AND .07, l_quantity BETWEEN 2 AND 49]) AS good FROM lineitem),
+gate AS (SELECT batch, bool_and(good) AS passed, coalesce(string_agg(DISTINCT reason, '; ' ORDER BY reason) FILTER (NOT good), '') AS reasons FROM tests GROUP BY batch),
+own AS (SELECT DISTINCT l_orderkey AS batch, l_partkey AS lot FROM lineitem JOIN gate ON batch = l_orderkey WHERE NOT passed),
+walk AS (SELECT batch, lot, 1 AS steps FROM own UNION SELECT batch, p_size::BIGINT, steps + 1 FROM walk JOIN part ON p_partkey = lot WHERE steps < 40),
+lots AS (SELECT batch, lot, min(steps) AS steps FROM walk GROUP BY 1, 2),
+whose AS (SELECT batch, count(DISTINCT l_suppkey) AS n_farmers, min(l_suppkey) AS first_farmer FROM lots JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_partkey = lot GROUP BY batch),
+sizes AS (SELECT batch, count(*) AS n_lots, max(steps) AS steps FROM lots GROUP BY batch)
+SELECT batch, CASE WHEN passed THEN 'passed' ELSE 'blocked' END AS status, reasons, coalesce(n_lots, 0) AS n_lots, coalesce(n_farmers, 0) AS n_farmers, coalesce(steps, 0)::BIGINT AS steps, first_farmer
+FROM gate LEFT JOIN sizes USING (batch) LEFT JOIN whose USING (batch)"""
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type of event has a registry of 200 tasks: a user's day, which the day's events update."""
+    e = table(spark, sf_dir, "events")
+    updates = e.select(F.col("event_type").alias("owner"), F.col("event_id").alias("seq"), F.concat_ws("@", "user_id", F.to_date("ts").cast("string")).alias("task_id"), "props")
+    return sessions.registry(updates.withColumnRenamed("props", "status"), 200)
+
+
+TASKS_SQL = """WITH t AS (SELECT event_type AS owner, user_id || '@' || ts::DATE AS task_id, min(event_id) AS since, arg_max(props, event_id) AS status FROM events GROUP BY 1, 2)
+SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY owner ORDER BY since DESC, task_id DESC) <= 200"""
+
+
 QUERIES = {
     "overdue_debt": overdue,
     "fefo_allocation": fefo,
@@ -236,6 +313,10 @@ QUERIES = {
     "material_need": materials,
     "material_window": windows,
     "price_asof": fuel,
+    "quote_assembly": assembled,
+    "approve_once": approvals,
+    "task_registry": tasks,
+    "lot_trace": traced,
     "profit_rollup": profit,
     "graph_orphans": orphans,
     "catalog_harvest": catalog,
@@ -258,6 +339,10 @@ ORACLES = {
     "material_need": MATERIALS_SQL,
     "material_window": WINDOWS_SQL,
     "price_asof": FUEL_SQL,
+    "quote_assembly": ASSEMBLED_SQL,
+    "approve_once": APPROVALS_SQL,
+    "task_registry": TASKS_SQL,
+    "lot_trace": TRACED_SQL,
     "profit_rollup": PROFIT_SQL,
     "graph_orphans": ORPHANS_SQL,
     "catalog_harvest": CATALOG_SQL,

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import text as T
-from saltmarsh.operators import corpus, retrieval, rules, selection, sessions
+from saltmarsh.operators import corpus, quotes, retrieval, rules, selection, sessions
 from saltmarsh.sources import sinks, tables
 from saltmarsh.streaming import flows
 
@@ -81,7 +81,7 @@ def test_fefo_refuses_when_short(spark):
 def test_as_of_price(spark):
     e = spark.createDataFrame([("k", 5, 1), ("k", 1, 2)], "key string, ts int, id int")
     p = spark.createDataFrame([("k", 2, 7.0), ("k", 5, 8.0)], "key string, ts int, price double")
-    assert {r.id: r.price for r in rules.price_as_of(e, p, "key").collect()} == {1: 8.0, 2: None}
+    assert {r.id: r.price for r in quotes.price_as_of(e, p, "key").collect()} == {1: 8.0, 2: None}
 
 
 def test_sources_and_sinks(spark, tmp_path):
