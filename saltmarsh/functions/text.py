@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import ast
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Patterns and lists. Fixed values.
 SECRETS = (
@@ -23,12 +19,13 @@ FORBIDDEN_KEYS = ("internal", "margin", "base_margin_pct", "carrier_cost", "min_
 EMPTY_ANSWER = "Xin lỗi, tôi chưa tạo được câu trả lời cho câu này. Bạn thử hỏi lại ngắn gọn hơn giúp tôi nhé."
 DEDUPE_FROM = 40  # characters from which a repeated line goes
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NUMBER = r"\d[\d.,]*\d|\d"
 
 
 def stripped(text: Column) -> Column:
     """Without white space, of any script, at both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def strip_think(text: Column) -> Column:
@@ -38,19 +35,22 @@ def strip_think(text: Column) -> Column:
 
 
 def dedupe_lines(text: Column) -> Column:
-    """Drop lines that, trimmed, are long and came before; JSON-like text stays as it is."""
+    """Drop lines that, trimmed, are long and came before; JSON-like text stays as it is.
+
+    Lines are sorted by (key, place) and each is compared with the one before, so the work is that of a sort; short lines have keys of their own.
+    """
     lines = F.split(text, "\n", -1)
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out"))
 
-    def step(state: Column, line: Column) -> Column:
+    def keyed(line: Column, i: Column) -> Column:
         key = stripped(line)
-        long = F.length(key) >= DEDUPE_FROM
-        again = long & F.array_contains(state["seen"], key)
-        seen = F.when(long & ~again, F.array_append(state["seen"], key)).otherwise(state["seen"])
-        return F.struct(seen.alias("seen"), F.when(again, state["out"]).otherwise(F.array_append(state["out"], line)).alias("out"))
+        return F.struct(F.when(F.length(key) >= DEDUPE_FROM, key).alias("k"), i.alias("i"), line.alias("line"))
+
+    def kept(rows: Column) -> Column:
+        first = F.transform(rows, lambda r, j: F.struct(r["i"].alias("i"), r["line"].alias("line"), (r["k"].isNull() | (j == 0) | ~r["k"].eqNullSafe(F.get(rows, j - 1)["k"])).alias("new")))
+        return F.transform(F.array_sort(F.filter(first, lambda r: r["new"])), lambda r: r["line"])
 
-    kept = F.aggregate(lines, start, step, lambda s: F.array_join(s["out"], "\n"))
-    return F.when(text.rlike(r"^\s*[\{\[]"), text).otherwise(kept)
+    sorted_ = F.transform(F.array(F.array_sort(F.transform(lines, keyed))), kept)
+    return F.when(text.rlike(r"^\s*[\{\[]"), text).otherwise(F.array_join(F.element_at(sorted_, 1), "\n"))
 
 
 def clean_output(text: Column) -> Column:
@@ -143,58 +143,3 @@ def guard_sql(statement: Column) -> Column:
     """Why a statement isn't read-only; null if it is."""
     word = F.upper(F.regexp_extract(statement, r"(?i)\b(DROP|TRUNCATE|DELETE|ALTER|UPDATE|INSERT|GRANT|REVOKE|CREATE)\b", 1))
     return F.when(word != "", F.concat(F.lit("writes: "), word)).when(~F.upper(statement).contains("SELECT"), "no SELECT")
-
-
-def _balanced(text: str, strings: bool) -> str | None:
-    start = text.find("{")
-    depth, inside, escaped = 0, False, False
-    for i in range(max(start, 0), len(text)):
-        c = text[i]
-        if inside:
-            inside, escaped = not (c == '"' and not escaped), c == "\\" and not escaped
-        elif c == '"' and strings:
-            inside = True
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if not depth:
-                return text[start : i + 1]
-    return None
-
-
-@F.udf(T.StringType())
-def json_block(text: str | None) -> str | None:
-    """The first balanced object of a text, with regard to strings; null if it isn't JSON."""
-    block = _balanced(text or "", True)
-    try:
-        return block if block and isinstance(json.loads(block), dict) else None
-    except ValueError:
-        return None
-
-
-_OPS = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b, ast.Mod: lambda a, b: a % b}
-
-
-def _value(node: ast.AST):
-    if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-        return node.value
-    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Pow):
-        base, power = _value(node.left), _value(node.right)
-        if abs(power) > 64 or abs(base) > 1e6:
-            raise ValueError("too large")
-        return base**power
-    if isinstance(node, ast.BinOp) and type(node.op) in _OPS:
-        return _OPS[type(node.op)](_value(node.left), _value(node.right))
-    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub | ast.UAdd):
-        return -_value(node.operand) if isinstance(node.op, ast.USub) else _value(node.operand)
-    raise ValueError("not arithmetic")
-
-
-@F.udf(T.StringType())
-def calculate(expression: str | None) -> str:
-    """The value of an arithmetic expression (+ - * / ** %), or Error."""
-    try:
-        return str(_value(ast.parse((expression or "").strip(), mode="eval").body))
-    except (ValueError, SyntaxError, ZeroDivisionError, OverflowError, RecursionError):
-        return "Error"

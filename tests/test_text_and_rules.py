@@ -40,10 +40,22 @@ def test_secrets_masks_and_guard(spark):
     assert one(spark, "Hải Phòng", lambda c: T.fuzzy_contains(c, F.lit("hai phong")))
 
 
-def test_udfs(spark):
-    assert one(spark, "2 + 3 * 4", T.calculate) == "14"
-    assert one(spark, "__import__('os')", T.calculate) == "Error" and one(spark, "1/0", T.calculate) == "Error" and one(spark, None, T.calculate) == "Error"
-    assert one(spark, 'x {"a": "}"} y', T.json_block) == '{"a": "}"}' and one(spark, "{broken", T.json_block) is None
+def test_trimming(spark):
+    """All white space of any script goes at both ends, none within."""
+    inner = "a\u3000b\tc"
+    for space in T.SPACES:
+        assert one(spark, space + inner + space * 2, T.stripped) == inner, hex(ord(space))
+    assert one(spark, "\u200bx\u200b", T.stripped) == "\u200bx\u200b" and one(spark, None, T.stripped) is None and one(spark, " \n", T.stripped) == ""
+    assert "".join(c for c in map(chr, range(0x3100)) if c.isspace()) == "".join(sorted(T.SPACES))
+
+
+def test_dialogues_that_are_wrong_in_one_way(spark):
+    good = [(0, "system", "s"), (1, "user", "u"), (2, "assistant", "a")]
+    cases = {1: good, 2: good[:2], 3: good[1:] + [(3, "user", "x")], 4: [*good, (3, "assistant", "b")], 5: [*good, (3, "user", "u")], 6: [*good[:2], (2, "assistant", " \t")], 7: [*good[:2], (2, "assistant", None)]}
+    df = spark.createDataFrame([(k, *m) for k, rows in cases.items() for m in rows], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.fault for r in corpus.shape_errors(df).collect()}
+    empty = "last message is empty"
+    assert got == {1: None, 2: "fewer than 3 messages", 3: "first message isn't the system's", 4: "roles don't alternate", 5: "last message isn't the assistant's", 6: empty, 7: empty}
 
 
 def test_chunks(spark):
