@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+NUMBERS = 86_400  # a piece of a time line of numbers
 DEFAULT_RULE = "Mặc định"  # fixed value
 
 
 def price_as_of(events: DataFrame, prices: DataFrame, key: str, unit: str = "month") -> DataFrame:
-    """Each event (key, ts, any other columns) with the latest ``price`` of its key not after it; null without any. A null key has none.
+    """Each event (key, ts: a time or a number, any other columns) with the latest ``price`` of its key not after it; null without any. A null key has none.
 
     Both sides are one time line, cut by ``unit``: a line's piece is one sort of its own, and begins with the last price of the pieces
     before, so a key with most rows is many pieces. Of prices at one time the largest counts; null prices don't.
@@ -20,7 +22,8 @@ def price_as_of(events: DataFrame, prices: DataFrame, key: str, unit: str = "mon
     priced = prices.filter(F.col("price").isNotNull() & F.col("ts").isNotNull()).select(F.col(key).alias("_k"), F.col("ts").alias("_ts"), F.col("price").alias("_p"))
     asked = events.select(F.col(key).alias("_k"), F.col("ts").alias("_ts"), F.lit(None).cast(kind).alias("_p"), row.alias("_row"))
     none = F.lit(None).cast(asked.schema["_row"].dataType)
-    piece = F.date_trunc(unit, "_ts")
+    of_time = isinstance(events.schema["ts"].dataType, T.DateType | T.TimestampType | T.TimestampNTZType)
+    piece = F.date_trunc(unit, "_ts") if of_time else F.floor(F.col("_ts") / NUMBERS)
     line = asked.unionByName(priced.select("*", none.alias("_row"))).withColumn("_piece", piece)
     ends = line.filter(F.col("_k").isNotNull()).groupBy("_k", "_piece").agg(F.max(F.when(F.col("_row").isNull(), F.struct("_ts", "_p"))).alias("_end"))
     before = Window.partitionBy("_k").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # a key's pieces
