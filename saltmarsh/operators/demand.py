@@ -29,6 +29,11 @@ def _rounded(x: Column) -> Column:
     return F.round(x.cast("decimal(18,9)"), 4).cast("double")
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once for each row, however often later ones use them: Spark merges no projection into a generator."""
+    return df.drop(*columns).select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def classify_demand(df: DataFrame, series: str = "series") -> DataFrame:
     """Add ``adi``, ``cv2`` (4 decimals) and ``pattern``: smooth, erratic, intermittent, lumpy or no_demand.
 
@@ -38,8 +43,9 @@ def classify_demand(df: DataFrame, series: str = "series") -> DataFrame:
     s = F.col(series)
     positive = F.filter(s, lambda x: x > 0)
     n = F.size(positive)
-    adi = F.size(s) / F.nullif(n, F.lit(0))
     cv = _pstdev(positive) / _mean(positive)
+    df = _once(df, _n=n, _adi=F.size(s) / F.nullif(n, F.lit(0)), _cv=cv)
+    n, adi, cv = F.col("_n"), F.col("_adi"), F.col("_cv")
     cv2 = F.when(n >= 2, cv * cv).when(n == 1, F.lit(0.0))
     pattern = (
         F.when(n == 0, "no_demand")
@@ -48,7 +54,7 @@ def classify_demand(df: DataFrame, series: str = "series") -> DataFrame:
         .when(cv2 < CV2_CUTOFF, "intermittent")
         .otherwise("lumpy")
     )
-    return df.withColumn("pattern", pattern).withColumn("adi", _rounded(adi)).withColumn("cv2", _rounded(cv2))
+    return df.withColumn("pattern", pattern).withColumn("adi", _rounded(adi)).withColumn("cv2", _rounded(cv2)).drop("_n", "_adi", "_cv")
 
 
 def croston(series: Column, alpha: float = 0.1, variant: str = "sba") -> Column:
@@ -119,11 +125,13 @@ def forecast_demand(df: DataFrame, alpha: float = 0.1, variant: str = "sba", ser
     for under 12 periods, under 3 with demand, a lumpy pattern or an error above 1, medium for intermittent or erratic demand.
     """
     rows = classify_demand(df, series)
+    usual = F.col("pattern").isin("smooth", "no_demand")
+    rows = _once(rows, _mean4=moving_average(F.col(series)), _croston=F.when(~usual, croston(F.col(series), alpha, variant)), _mase=F.when(~usual, backtest_mase(F.col(series), alpha, variant)))
     s, smooth = F.col(series), F.col("pattern") == "smooth"
     n, positive = F.size(s), F.size(F.filter(s, lambda x: x > 0))
-    value = F.when(F.col("pattern") == "no_demand", F.lit(0.0)).when(smooth, moving_average(s)).otherwise(croston(s, alpha, variant))
+    value = F.when(F.col("pattern") == "no_demand", F.lit(0.0)).when(smooth, F.col("_mean4")).otherwise(F.col("_croston"))
     rows = rows.withColumn("method", F.when(F.col("pattern") == "no_demand", "none").when(smooth, "moving_average").otherwise(f"croston_{variant}"))
-    rows = rows.withColumn("forecast", F.round(value, 4)).withColumn("mase", F.when(~smooth & (F.col("pattern") != "no_demand"), backtest_mase(s, alpha, variant)))
+    rows = rows.withColumn("forecast", F.round(value, 4)).withColumn("mase", F.col("_mase")).drop("_mean4", "_croston", "_mase")
     ladder = F.when((n < MIN_HISTORY) | (positive < 3) | (F.col("pattern") == "lumpy") | (F.col("mase") > 1), "low")
     return rows.withColumn("confidence", ladder.when(F.col("pattern").isin("intermittent", "erratic"), "medium").otherwise("high"))
 
@@ -140,10 +148,12 @@ def reorder_point(df: DataFrame, service_level: float = 0.95, review_periods: in
     bad = F.when(F.col(series).isNull() | (F.size(series) == 0), "empty series").when(F.col("lead_time_periods") < 0, "negative lead time")
     rows = forecast_demand(df, alpha, series=series).withColumn("error", bad)
     h = F.col("lead_time_periods") + review_periods
-    raw = F.when(F.col("error").isNull(), F.col("forecast") * h + F.lit(z) * _pstdev(F.col(series)) * F.sqrt(F.greatest(h, F.lit(0.0))))
+    rows = _once(rows, _raw=F.when(F.col("error").isNull(), F.col("forecast") * h + F.lit(z) * _pstdev(F.col(series)) * F.sqrt(F.greatest(h, F.lit(0.0)))))
+    raw = F.col("_raw")
     quantity = F.greatest(F.lit(0), F.ceil(raw - F.col("current_stock")))
     return (
         rows.withColumn("reorder_point", F.round(raw, 2))
         .withColumn("should_order", F.col("current_stock") <= raw)
         .withColumn("order_quantity", F.when(F.col("current_stock").isNotNull(), quantity).cast("long"))
+        .drop("_raw")
     )

@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from saltmarsh.sources.shared import saved
+from saltmarsh.sources.shared import give_back, saved
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # Okapi's usual parameters
 BLOCK_BYTES = 32 << 20  # of query vectors that meet the others at a time
-TEXT = 4 << 20  # bytes of texts that are split at a time
+TEXT = 1 << 20  # bytes of texts that are split at a time
 DOCS = 512  # documents that are scored at a time
-PRODUCT = 4 << 20  # cosines held at a time
+PRODUCT = 1 << 19  # cosines held at a time
 BLOCK_TERMS = 200_000  # (query, term) rows of the queries that meet the texts at a time
 SEED_DOCS = 2_000  # documents of the rare terms that a query's first bound is taken from, or those of its rarest term
 SLACK = 1e-5  # more than rounding can change
@@ -132,6 +132,7 @@ def _block_nearest(rows: DataFrame, block: DataFrame, top: int) -> DataFrame:
                     best.add(scores, ids, part.column(2).to_pylist())
         for names, _, best in by_size.values():
             query, group, score, ids = best.settle()
+            give_back()
             labels = pa.array(list(best.groups), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(names[query]), labels.take(pa.array(group)), pa.array(score, pa.float64()), pa.array(ids, pa.int64())], names=["query_id", "g", "score", "vec_id"])
 
@@ -203,6 +204,7 @@ def _seen(docs: DataFrame, doc_id: str, vocabulary: pa.Array) -> DataFrame:
         if parts:
             yield from (batch(_TERM, x.num_rows, term=x.column(0), n=x.column(1)) for x in summed().combine_chunks().to_batches())
         yield batch(_TOTAL, 1, dl=pa.array([words_n]), n=pa.array([docs_n]))
+        give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SEEN)
 
@@ -285,6 +287,7 @@ def _scored(forward: DataFrame, weights: _Weights, mean: float, top: int) -> Dat
                 good = score >= best.least[q, 0]
                 best.push(q[good], np.zeros(int(good.sum()), np.int64), score[good], ids[d[good]])
         query, _, score, ids = best.settle()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(w.queries[query], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "doc_id", "score"])
 
     return forward.mapInArrow(run, "query_id long, doc_id long, score double")
