@@ -21,10 +21,12 @@ def idempotent(events: DataFrame, key: list[str], order: str) -> DataFrame:
     return keep_first(events, F.struct(*key), order)
 
 
-def recent_payments(events: DataFrame, as_of: str, minutes: int = 10) -> DataFrame:
-    """Incoming amounts of the last minutes before ``as_of``."""
-    now = F.lit(as_of).cast("timestamp_ntz")
-    return events.filter((F.col("amount_in") > 0) & (F.col("ts") >= now - F.expr(f"INTERVAL {minutes} MINUTES")) & (F.col("ts") <= now))
+def recent_payments(events: DataFrame, as_of: str | None = None, minutes: int = 10) -> DataFrame:
+    """Incoming amounts of the last minutes before ``as_of``, or before the latest event."""
+    one = F.lit(1).alias("_one")
+    now = events.agg(F.coalesce(F.lit(as_of).cast("timestamp_ntz"), F.max("ts")).alias("_now"), one)  # one row
+    late = F.col("ts").between(F.col("_now") - F.expr(f"INTERVAL {minutes} MINUTES"), F.col("_now"))
+    return events.withColumn("_one", F.lit(1)).join(F.broadcast(now), "_one").filter((F.col("amount_in") > 0) & late).drop("_one", "_now")
 
 
 def overdue(debts: DataFrame, as_of: str) -> DataFrame:

@@ -116,13 +116,15 @@ SELECT doc_id, chunk, length(t) AS n, md5(t) AS text_md5 FROM t WHERE length(t)
 
 
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir)
-    invented = T.invented_numbers(F.col("text"), F.substring(F.col("text"), 1, 1000))
+    """Whole documents as answers, each with the page of its number as context."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    d = _docs(spark, sf_dir).select("doc_id", "text").join(pages, "doc_id", "left")
+    invented = T.invented_numbers(F.col("text"), F.coalesce("html", F.lit("")))
     return d.select("doc_id", F.size(T.numbers_in(F.col("text"))).cast("long").alias("numbers"), F.size(invented).cast("long").alias("invented"))
 
 
 _NUM = r"list_distinct(list_transform(regexp_extract_all({0}, '\d[\d.,]*\d|\d'), lambda x: regexp_replace(x, '[.,]', '', 'g')))"
-NUMBERS_SQL = f"""WITH n AS (SELECT doc_id, {_NUM.format('text')} AS a, {_NUM.format('substr(text, 1, 1000)')} AS c FROM documents)
+NUMBERS_SQL = f"""WITH n AS (SELECT doc_id, {_NUM.format('text')} AS a, {_NUM.format("coalesce(html, '')")} AS c FROM documents LEFT JOIN pages ON page_id = doc_id)
 SELECT doc_id, len(a) AS numbers, len(list_filter(a, lambda x: length(x) >= 4 AND NOT list_contains(c, x))) AS invented FROM n"""
 
 
@@ -140,11 +142,11 @@ SELECT doc_id, array_to_string(found, '|') AS found FROM f WHERE len(found) > 0"
 
 
 def think(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<think>a</think>"), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.substring("text", 1, 40), F.lit("<think>"), "text")).otherwise(F.col("text"))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<think>a</think>"), "text")).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("<think>"), "text")).otherwise(F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", F.md5(T.strip_think(raw)).alias("text_md5"))
 
 
-THINK_SQL = f"SELECT doc_id, md5({_strip('CASE WHEN doc_id % 3 = 1 THEN substr(text, 1, 40) ELSE text END')}) AS text_md5 FROM documents"
+THINK_SQL = f"SELECT doc_id, md5({_strip('text')}) AS text_md5 FROM documents"
 
 
 def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,11 +263,12 @@ SELECT query_id, CASE method WHEN 'keyword' THEN keyword WHEN 'semantic' THEN ro
 
 
 def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = corpus.dialogue_key(F.substring("text", 1, 80), F.col("text"))
-    return corpus.keep_first(_docs(spark, sf_dir).select("doc_id", "text"), key, "doc_id").select("doc_id")
+    """Documents as answers to the question that their source asks; the key takes the whole question and, as a rule of the method, the answer's first 160 characters."""
+    key = corpus.dialogue_key(F.col("source"), F.col("text"))
+    return corpus.keep_first(_docs(spark, sf_dir).select("doc_id", "source", "text"), key, "doc_id").select("doc_id")
 
 
-KEEP_FIRST_SQL = f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5({_strip('substr(text, 1, 80)')} || '||' || substr(text, 1, 160))"
+KEEP_FIRST_SQL = f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5({_strip('source')} || '||' || substr(text, 1, 160))"
 
 
 def share_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
