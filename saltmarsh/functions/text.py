@@ -143,3 +143,19 @@ def guard_sql(statement: Column) -> Column:
     """Why a statement isn't read-only; null if it is."""
     word = F.upper(F.regexp_extract(statement, r"(?i)\b(DROP|TRUNCATE|DELETE|ALTER|UPDATE|INSERT|GRANT|REVOKE|CREATE)\b", 1))
     return F.when(word != "", F.concat(F.lit("writes: "), word)).when(~F.upper(statement).contains("SELECT"), "no SELECT")
+
+
+#: Names of the days from Monday on. Fixed values.
+WEEKDAYS = ("thứ Hai", "thứ Ba", "thứ Tư", "thứ Năm", "thứ Sáu", "thứ Bảy", "Chủ nhật")
+
+
+def extraction_prompt(message: Column, day: Column) -> Column:
+    """A message with the day that it is of, which a model can't know."""
+    name = F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.weekday(day) + 1)
+    return F.concat(F.lit("Hôm nay là "), name, F.lit(", ngày "), F.date_format(day, "yyyy-MM-dd"), F.lit(".\nTin nhắn: "), F.coalesce(message, F.lit("")))
+
+
+def trip_summary(origin: Column, destination: Column, vehicle: Column, cargo: Column, pickup: Column) -> Column:
+    """One line on a trip; cargo and pickup only where they are known."""
+    given = lambda c: F.nullif(c, F.lit(""))
+    return F.concat_ws(", ", F.concat(origin, F.lit(" → "), destination), F.concat(F.lit("xe "), vehicle), given(cargo), F.concat(F.lit("lấy hàng "), given(pickup)))

@@ -112,3 +112,11 @@ def harvest_catalog(nodes: DataFrame) -> DataFrame:
     """The largest version of each type, the first row where several have it. nodes: type, version, position."""
     best = nodes.groupBy("type").agg(F.max_by(F.struct("version", "position"), F.struct("version", -F.col("position"))).alias("b"))
     return best.select("type", "b.version", "b.position")
+
+
+def example_workflows(workflows: DataFrame, blocked: list[str], limit: int = 2, size: tuple[int, int] = (3, 7)) -> DataFrame:
+    """The ``limit`` workflows (id, nodes: array of name, type) that serve best as examples: of 3 to 7 nodes, the fewest blocked ones first, then the smallest, then by id. Blocked nodes become ``noOp``; ``patched`` counts them."""
+    n = F.size("nodes")
+    bad = lambda x: F.coalesce(x["type"].isin(blocked), F.lit(False))
+    rows = workflows.filter(n.between(*size)).select("id", F.size(F.filter("nodes", bad)).alias("patched"), n.alias("size"), F.transform("nodes", lambda x: x.withField("type", F.when(bad(x), "noOp").otherwise(x["type"]))).alias("nodes"))
+    return rows.orderBy("patched", "size", "id").limit(limit)

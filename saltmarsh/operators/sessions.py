@@ -55,6 +55,38 @@ def context_text(messages: DataFrame, limit: int = LIMIT) -> DataFrame:
     return history(messages, limit).groupBy("conv_id").agg(F.array_join(lines, "\n").alias("context"), F.count("*").alias("n"))
 
 
+def context_with_attachment(messages: DataFrame, attachments: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The history of each conversation behind what its latest attachment shows (conv_id, file_name, summary, ts); of equal times the larger name counts. A conversation with an attachment only has an empty history."""
+    shown = F.max(F.struct("ts", "file_name", "summary"))
+    last = attachments.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(shown.alias("a"))
+    text = F.concat(F.lit("\n[SYSTEM: The user just uploaded an image named '"), F.coalesce("a.file_name", F.lit("")), F.lit("'.]\n[IMAGE ANALYSIS]: "), F.coalesce("a.summary", F.lit("")), F.lit("\n(Use this analysis to answer questions about 'the image'.)\n"))
+    joined = context_text(messages, limit).join(last, "conv_id", "full")
+    return joined.select("conv_id", F.concat(F.when(F.col("a").isNotNull(), text).otherwise(""), F.lit("\n"), F.coalesce("context", F.lit(""))).alias("context"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+STORE_DEFAULTS = {"industry": "Retail", "location": "Unknown"}  # fixed values
+
+
+def user_workspaces(memberships: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """(user_id, id, name, place): the workspaces (id, name) of each user's memberships (user_id, workspace_id), each once, in the order of their ids. Memberships of unknown workspaces give none."""
+    own = memberships.select("user_id", F.col("workspace_id").alias("id")).distinct().join(workspaces, "id")
+    return own.select("user_id", "id", "name", F.row_number().over(Window.partitionBy("user_id").orderBy("id")).alias("place"))
+
+
+def store_details(workspaces: DataFrame) -> DataFrame:
+    """Workspaces as stores: a name of its own where there is none, and the usual industry and place."""
+    named = F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("Store "), F.col("id").cast("string")))
+    return workspaces.select("id", named.alias("name"), *[F.lit(v).alias(k) for k, v in STORE_DEFAULTS.items()])
+
+
+def legacy_sessions(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Old messages (user_id, role, content, ts) moved to sessions: one for each user (session_id, user_id, title, last_active), and the messages with it. Messages without a user stay behind."""
+    known = messages.filter(F.col("user_id").isNotNull())
+    session = F.concat(F.lit("legacy-"), F.col("user_id").cast("string"))
+    sessions = known.groupBy("user_id").agg(F.max("ts").alias("last_active"))
+    return sessions.select(session.alias("session_id"), "user_id", F.lit("Legacy Conversation").alias("title"), "last_active"), known.select(session.alias("session_id"), "role", "content", F.col("ts").alias("created_at"))
+
+
 def newest(rows: DataFrame, order: str, keep: int) -> DataFrame:
     """The ``keep`` rows that came last: a bounded registry or the tail of a log."""
     return rows.orderBy(F.desc(order)).limit(keep)
