@@ -13,9 +13,8 @@ from saltmarsh.functions.text import customer_leak, invented_numbers, stripped
 FOLD = "UNICODE_CI_AI"  # neither case nor accents count
 MAX_NG = 3.0  # percent
 MAX_NOTICE = 3800  # characters of a notice
-#: Where notices of a kind go. Fixed values.
-NOTICE_CHANNELS = {"urgent": "zalo", "report": "email", "debt": "telegram"}
-DEFAULT_CHANNEL = "telegram"
+#: Channels that notices may go to; the first one takes all others. Fixed values.
+NOTICE_CHANNELS = ("discord", "telegram", "zalo", "facebook")
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -115,9 +114,9 @@ def batch_report(batches: DataFrame, warn_yield: float) -> DataFrame:
 
 
 def routed_notices(notices: DataFrame) -> DataFrame:
-    """Each notice (id, kind, text) with its channel, by kind or else the default one, and its text cut to what a notice may have."""
-    known = F.create_map(*[F.lit(x) for pair in NOTICE_CHANNELS.items() for x in pair])
-    return notices.select("id", F.coalesce(F.try_element_at(known, F.lower(F.coalesce("kind", F.lit("")))), F.lit(DEFAULT_CHANNEL)).alias("channel"), F.substring(F.coalesce("text", F.lit("")), 1, MAX_NOTICE).alias("text"))
+    """Each notice (id, channel, text) with its channel, or the default one where that isn't known, and its text cut to what a notice may have."""
+    asked = F.lower(F.coalesce("channel", F.lit("")))
+    return notices.select("id", F.when(asked.isin(*NOTICE_CHANNELS), asked).otherwise(NOTICE_CHANNELS[0]).alias("channel"), F.substring(F.coalesce("text", F.lit("")), 1, MAX_NOTICE).alias("text"))
 
 
 def invoice_versions(issued: DataFrame, adjustments: DataFrame, fields: list[str]) -> DataFrame:

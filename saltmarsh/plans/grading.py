@@ -135,13 +135,13 @@ SELECT *, yield_pct < 60 OR ng_pct > 3 AS warn FROM t"""
 
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as notices; the kind goes by language."""
-    kind = F.when(F.col("lang") == "en", "URGENT").when(F.col("lang") == "de", "report").when(F.col("lang") == "fr", "other")
-    found = grading.routed_notices(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), kind.alias("kind"), "text"))
+    """Documents as notices; the channel goes by language."""
+    channel = F.when(F.col("lang") == "en", "Zalo").when(F.col("lang") == "de", "telegram").when(F.col("lang") == "fr", "other")
+    found = grading.routed_notices(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), channel.alias("channel"), "text"))
     return found.select("id", "channel", F.md5("text").alias("text_md5"))
 
 
-NOTICES_SQL = "SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'zalo' WHEN 'de' THEN 'email' ELSE 'telegram' END AS channel, md5(left(coalesce(text, ''), 3800)) AS text_md5 FROM documents"
+NOTICES_SQL = "SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'zalo' WHEN 'de' THEN 'telegram' ELSE 'discord' END AS channel, md5(left(coalesce(text, ''), 3800)) AS text_md5 FROM documents"
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:

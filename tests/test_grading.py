@@ -52,9 +52,9 @@ def test_weather_and_batches(spark):
 
 
 def test_notices_and_versions(spark):
-    rows = [(1, "URGENT", "a" * 5000), (2, None, None), (3, "who", "é" * 3801)]
-    got = {r.id: (r.channel, len(r.text)) for r in G.routed_notices(spark.createDataFrame(rows, "id int, kind string, text string")).collect()}
-    assert got == {1: ("zalo", 3800), 2: ("telegram", 0), 3: ("telegram", 3800)}
+    rows = [(1, "ZALO", "a" * 5000), (2, None, None), (3, "who", "é" * 3801)]
+    got = {r.id: (r.channel, len(r.text)) for r in G.routed_notices(spark.createDataFrame(rows, "id int, channel string, text string")).collect()}
+    assert got == {1: ("zalo", 3800), 2: ("discord", 0), 3: ("discord", 3800)}
     issued = spark.createDataFrame([(1, 10, "new"), (2, 20, None)], "invoice int, amount long, status string")
     more = spark.createDataFrame([(1, 5, None, "sent"), (1, 3, 11, None), (9, 1, 1, "x")], "invoice int, seq int, amount long, status string")
     rows = sorted((r.invoice, r.version, r.amount, r.status) for r in G.invoice_versions(issued, more, ["amount", "status"]).filter("invoice = 1").collect())
