@@ -78,3 +78,21 @@ def rank_carriers(eligible: DataFrame, weights: dict[str, float] | None = None)
     gap = F.round(F.col("score") - F.lead("score").over(order), 4)
     ranked = scored.withColumn("rank", F.row_number().over(order)).withColumn("gap", gap)
     return ranked.select("request_id", "carrier_id", "rank", "score", "missing", "gap", (F.col("gap") < CLOSE_CALL).alias("close_call"))
+
+
+def breakdown(eligible: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """Why each eligible carrier scores as it does: for each criterion that counts, its value, its weight scaled as in the ranking and their product (4 decimals each), the largest first (``place``).
+
+    Equal products keep the order of the weights. A criterion without a weight counts with 0; a request without usable weights has no rows.
+    """
+    weights = weights or WEIGHTS
+    weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    known = Window.partitionBy("request_id", "criterion")
+    rows = criteria(eligible).withColumn("usable", F.count("value").over(known) == F.count("*").over(known)).filter("usable")
+    rows = rows.withColumn("w", F.coalesce(weight[F.col("criterion")], F.lit(0.0)))
+    carrier = Window.partitionBy("request_id", "carrier_id", "position")  # six rows at most
+    rows = rows.withColumn("total", F.sum("w").over(carrier)).filter(F.col("total") > 0)
+    share = F.col("w") / F.col("total")
+    told = rows.select("request_id", "carrier_id", "position", "criterion", F.round("value", 4).alias("normalized"), F.round(share, 4).alias("weight"), F.round(F.col("value") * share, 4).alias("contribution"))
+    at = F.array_position(F.array(*map(F.lit, weights)), F.col("criterion"))
+    return told.withColumn("place", F.row_number().over(carrier.orderBy(F.desc("contribution"), at))).drop("position")

@@ -286,6 +286,15 @@ SELECT request_id, carrier_id, row_number() OVER o AS rank, score, missing, roun
 FROM s WINDOW o AS (PARTITION BY request_id ORDER BY score DESC, carrier_id)"""
 
 
+def broken_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return carriers.breakdown(_candidates(spark, sf_dir).filter(F.col("reason").isNull()))
+
+
+BREAKDOWN_SQL = _rank_sql().rpartition("s AS (SELECT request_id, carrier_id, round(sum(w * x)")[0] + f"""b AS (SELECT request_id, carrier_id, c AS criterion, round(x, 4) AS normalized, round(w / sum(w) OVER k, 4) AS weight, round(x * w / sum(w) OVER k, 4) AS contribution
+    FROM u WHERE usable WINDOW k AS (PARTITION BY request_id, carrier_id))
+SELECT *, row_number() OVER (PARTITION BY request_id, carrier_id ORDER BY contribution DESC, list_position({list(carriers.WEIGHTS)}, criterion)) AS place FROM b"""
+
+
 # ---- demand --------------------------------------------------------------------------------------------
 
 MONTHS = 24
@@ -379,6 +388,7 @@ QUERIES = {
     "carrier_hard_filter": filtered,
     "carrier_rank": ranked,
     "carrier_rank_without_price": partial(ranked, without=("price",)),
+    "carrier_breakdown": broken_down,
     "demand_profile": profile,
     "croston_and_moving_average": smoothed,
     "forecast_confidence": forecasts,
@@ -401,6 +411,7 @@ ORACLES = {
     "carrier_hard_filter": FILTER_SQL,
     "carrier_rank": _rank_sql(),
     "carrier_rank_without_price": _rank_sql(("price",)),
+    "carrier_breakdown": BREAKDOWN_SQL,
     "demand_profile": PROFILE_SQL,
     "croston_and_moving_average": SMOOTHED_SQL,
     "forecast_confidence": FORECAST_SQL,

@@ -150,3 +150,14 @@ def test_reorder_quarantines_and_decides(spark):
     assert b.should_order is None and b.order_quantity is None and c.error and c.reorder_point is None
     with pytest.raises(ValueError):
         demand.reorder_point(df, 0.5)
+
+
+def test_breakdown_adds_up_to_the_score(spark):
+    rows = [(1, "A", 0, 1e6, 2.0, 30.0, 0.9, 5.0, 5.0), (1, "B", 1, 9e5, 5.0, 10.0, None, 5.0, 5.0), (2, "A", 0, 0.0, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, CARRIER)
+    parts = carriers.breakdown(df).collect()
+    for r in carriers.rank_carriers(df).collect():
+        own = sorted((p for p in parts if (p.request_id, p.carrier_id) == (r.request_id, r.carrier_id)), key=lambda p: p.place)
+        assert sum(p.contribution for p in own) == pytest.approx(r.score, abs=5e-4) and sum(p.weight for p in own) == pytest.approx(1, abs=5e-4)
+        assert [p.contribution for p in own] == sorted((p.contribution for p in own), reverse=True) and "reliability" not in {p.criterion for p in own}
+    assert carriers.breakdown(df, {"reliability": 1.0}).count() == 0 and [p.criterion for p in parts if p.request_id == 2] == ["price"]
