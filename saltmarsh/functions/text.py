@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\
 NUMBER = r"\d[\d.,]*\d|\d"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def stripped(text: Column) -> Column:
     """Without white space, of any script, at both ends."""
     return F.btrim(text, F.lit(SPACES))
@@ -57,8 +64,8 @@ def clean_output(text: Column) -> Column:
     """Remove reasoning (closed, unclosed, orphan tags) and fences, then repeated lines; never empty."""
     for pattern in (r"(?is)<think>.*?</think>", r"(?is)<think>.*$", r"(?is)^.*?</think>", r"```json\s*", "```"):
         text = F.regexp_replace(text, pattern, "")
-    done = stripped(dedupe_lines(stripped(text)))
-    return F.when(F.coalesce(done, F.lit("")) == "", EMPTY_ANSWER).otherwise(done)
+    done = once(stripped(text), lambda t: stripped(dedupe_lines(t)))
+    return once(done, lambda d: F.when(F.coalesce(d, F.lit("")) == "", EMPTY_ANSWER).otherwise(d))
 
 
 def user_content(text: Column) -> Column:
