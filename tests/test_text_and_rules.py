@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import text as T
-from saltmarsh.operators import corpus, quotes, retrieval, rules, selection, sessions
+from saltmarsh.operators import corpus, quotes, retrieval, selection, sessions
 from saltmarsh.sources import sinks, tables
 from saltmarsh.streaming import flows
 
