@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 NUMBERS = 86_400  # a piece of a time line of numbers
+DAY_BITS = 23  # of the number of days that dates span
 DEFAULT_RULE = "Mặc định"  # fixed value
 
 
@@ -35,21 +36,33 @@ def price_as_of(events: DataFrame, prices: DataFrame, key: str, unit: str = "mon
     return found.unionByName(asked.filter(F.col("_k").isNull()).select("_row.*", F.lit(None).cast(kind).alias("price")))
 
 
-def valid_offers(requests: DataFrame, offers: DataFrame, unit: str = "month") -> DataFrame:
+def valid_offers(requests: DataFrame, offers: DataFrame) -> DataFrame:
     """(vehicle_type, day, n_offers, best): how many offers each asked vehicle has on each asked day, and the cheapest (price, carrier_id).
 
-    requests: vehicle_type, day; offers: carrier_id, vehicle_type, price, valid_from, valid_to (dates; null: open). Offers meet days by vehicle and ``unit`` of time, and
-    only distinct days are asked, so nothing is paired by its vehicle alone. Offers without a price don't count; a price that repeats goes by the smaller carrier.
+    requests: vehicle_type, day; offers: carrier_id, vehicle_type, price, valid_from, valid_to (dates; null: open). Offers of one vehicle and time are aggregated first, and
+    no offer meets its days: its time is cut into stretches of 1, 2, 4, ... days that begin at multiples of their length, two of each length at most, which are
+    aggregated, and each distinct day meets the one stretch of each length that it lies in. Offers without a price don't count; a price that repeats goes by the smaller carrier.
     """
-    days = requests.select("vehicle_type", "day").dropna().distinct().withColumn("_piece", F.date_trunc(unit, "day").cast("date"))
+    days = requests.select("vehicle_type", "day").dropna().distinct()
     span = days.groupBy("vehicle_type").agg(F.min("day").alias("_low"), F.max("day").alias("_high"))
-    open_ = offers.filter(F.col("price").isNotNull()).join(span, "vehicle_type")
+    some = offers.filter(F.col("price").isNotNull() & F.col("vehicle_type").isNotNull())
+    some = some.groupBy("vehicle_type", "valid_from", "valid_to").agg(F.count("*").alias("_n"), F.min(F.struct("price", "carrier_id")).alias("_best")).join(span, "vehicle_type")
     first, last = F.greatest(F.coalesce("valid_from", "_low"), "_low"), F.least(F.coalesce("valid_to", "_high"), "_high")
-    met = open_.withColumn("_first", first).withColumn("_last", last).filter("_first <= _last")
-    pieces = F.sequence(F.date_trunc(unit, "_first").cast("date"), F.date_trunc(unit, "_last").cast("date"), F.expr(f"INTERVAL 1 {unit}"))
-    pieces = met.select("vehicle_type", "carrier_id", "price", "_first", "_last", F.explode(pieces).alias("_piece"))
-    both = days.join(pieces, ["vehicle_type", "_piece"]).filter(F.col("day").between(F.col("_first"), F.col("_last")))
-    return both.groupBy("vehicle_type", "day").agg(F.count("*").alias("n_offers"), F.min(F.struct("price", "carrier_id")).alias("best"))
+    met = some.withColumn("_first", F.unix_date(first)).withColumn("_end", F.unix_date(last) + 1).filter("_first < _end")
+    levels = F.sequence(F.lit(0), F.lit(DAY_BITS))
+
+    def cut(level: Column) -> Column:
+        """The stretches of 2 ** level days at both ends of a time that no longer stretch covers."""
+        size = F.pow(F.lit(2.0), level)
+        a, b = F.ceil(F.col("_first") / size), F.floor(F.col("_end") / size)
+        at = lambda place, odd: F.when((a < b) & (F.pmod(odd, F.lit(2)) == 1), F.struct(level.alias("_level"), place.alias("_at")))
+        return F.array(at(a, a), at(b - 1, b))
+
+    cuts = met.select("vehicle_type", "_n", "_best", F.inline(F.filter(F.flatten(F.transform(levels, cut)), lambda x: x.isNotNull())))
+    cuts = cuts.groupBy("vehicle_type", "_level", "_at").agg(F.sum("_n").alias("_n"), F.min("_best").alias("_best"))
+    lies = F.transform(levels, lambda level: F.struct(level.alias("_level"), F.floor(F.unix_date("day") / F.pow(F.lit(2.0), level)).alias("_at")))
+    both = days.select("vehicle_type", "day", F.inline(lies)).join(cuts, ["vehicle_type", "_level", "_at"])
+    return both.groupBy("vehicle_type", "day").agg(F.sum("_n").alias("n_offers"), F.min("_best").alias("best"))
 
 
 def fitting_rule(requests: DataFrame, rules: DataFrame) -> DataFrame:
@@ -61,7 +74,7 @@ def fitting_rule(requests: DataFrame, rules: DataFrame) -> DataFrame:
     named = rules.filter(F.col("name").isNotNull()).groupBy("name").agg(F.min_by(whole, "place").alias("_named"))
     rest = rules.agg(F.min_by(whole, F.when(F.col("name") == DEFAULT_RULE, F.col("place"))).alias("_default"), F.min_by(whole, "place").alias("_first"), F.lit(1).alias("_one"))
     has_default = F.when(F.col("_default.name") == DEFAULT_RULE, F.col("_default"))
-    joined = requests.join(named, requests["cargo_type"] == named["name"], "left").drop("name").withColumn("_one", F.lit(1)).join(F.broadcast(rest), "_one", "left")  # one row
+    joined = requests.join(F.broadcast(named), requests["cargo_type"] == named["name"], "left").drop("name").withColumn("_one", F.lit(1)).join(F.broadcast(rest), "_one", "left")  # one row
     return joined.withColumn("rule", F.coalesce("_named", has_default, "_first")).drop("_named", "_default", "_first", "_one")
 
 
@@ -69,12 +82,12 @@ def assemble(requests: DataFrame, offers: DataFrame, rules: DataFrame, fuel: Dat
     """Each request (request_id, vehicle_type, cargo_type, day) with the latest diesel price, its valid offers, its rule and the cheapest carrier's quote payload, or an ``error``.
 
     fuel: fuel_type, date, price. Errors: a required field is missing, no rule, no offer. The payload has carrier_cost, the rule's figures
-    with their defaults (sensitivity .35, floor 0, no surcharge without a name) and the fuel price.
+    with their defaults (sensitivity .35, floor 0, no surcharge without a name) and the fuel price, which is looked up once for each distinct day.
     """
     diesel = fuel.filter("fuel_type = 'diesel'").select("fuel_type", F.col("date").cast("timestamp_ntz").alias("ts"), "price")
-    asked = requests.withColumn("fuel_type", F.lit("diesel")).withColumn("ts", F.col("day").cast("timestamp_ntz"))
-    priced = price_as_of(asked, diesel, "fuel_type").withColumnRenamed("price", "fuel_price").drop("fuel_type", "ts")
-    met = priced.join(valid_offers(requests, offers), ["vehicle_type", "day"], "left")
+    asked = requests.select("day").dropna().distinct().withColumn("fuel_type", F.lit("diesel")).withColumn("ts", F.col("day").cast("timestamp_ntz"))
+    priced = price_as_of(asked, diesel, "fuel_type").select("day", F.col("price").alias("fuel_price"))
+    met = requests.join(F.broadcast(priced), "day", "left").join(valid_offers(requests, offers), ["vehicle_type", "day"], "left")
     ruled = fitting_rule(met, rules)
     error = (
         F.when(F.coalesce("vehicle_type", F.lit("")) == "", "missing: vehicle_type")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,17 @@ def test_empty_tables(spark):
     assert quotes.approve(none, spark.createDataFrame(DRAFTS, "draft_id long, status string, customer_email string")).count() == 0
     assert sessions.registry(spark.createDataFrame([], "owner string, seq long, task_id string, status string")).count() == 0
     assert quotes.price_as_of(spark.createDataFrame([], "k string, ts timestamp_ntz"), spark.createDataFrame([], "k string, ts timestamp_ntz, price double"), "k").select(F.col("price")).count() == 0
+
+
+def test_offers_do_not_meet_each_of_their_days(spark):
+    """200,000 open offers on 4,000 days are 800 million pairs, too many to be made."""
+    requests = spark.range(4000).select(F.lit("truck").alias("vehicle_type"), F.date_add(F.lit("1999-03-05").cast("date"), F.col("id").cast("int")).alias("day"))
+    n = F.col("id")
+    offers = spark.range(200_000).select(n.alias("carrier_id"), F.lit("truck").alias("vehicle_type"), (n % 7 + 1.0).alias("price"), F.date_add(F.lit("1999-03-05").cast("date"), (n % 4000).cast("int")).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    began = time.monotonic()
+    got = {r.day: (r.n_offers, *r.best) for r in quotes.valid_offers(requests, offers).collect()}
+    assert time.monotonic() - began < 60
+    first = dt.date(1999, 3, 5)
+    assert got[first] == (50, 1.0, 0)
+    assert got[first + dt.timedelta(3999)] == (200_000, 1.0, 0)
+    assert [got[first + dt.timedelta(k)][0] for k in range(4000)] == [50 * (k + 1) for k in range(4000)]
