@@ -342,3 +342,17 @@ def test_recall_of_changed_passages(spark):
     found = {f.doc_id for f in S.repeated_passages(spark.createDataFrame(rows, DOC)).collect()}
     for step in (6, 8, 10, 12):
         assert sum(1000 * step + 2 * i + 1 in found for i in range(n)) == n
+
+
+def test_buckets_go_by_the_size_of_texts(spark, monkeypatch):
+    """One partition of 3 GB of text has as many buckets as many partitions; a bucket of ordinary size is unpacked once."""
+    docs = spark.range(0, 100, 1, 1).selectExpr("id AS doc_id", "repeat('some word ', 3000000) AS text")
+    assert S._bits(docs, "text") == S._bits(docs.repartition(40), "text") == 8
+    assert S._bits(docs.limit(0), "text") == 6
+    times = []
+    monkeypatch.setattr(S, "unpack", lambda *a: times.append(1) or X.unpack(*a))
+    h = np.arange(3 << 19, dtype=np.int64)
+    packed = [(X.pack([h, h // 7, h % 7], 1), len(h))]
+    assert [len(x[0]) for x in S._split(packed)] == [len(h)] and len(times) == 1
+    monkeypatch.setattr(S, "SPLIT_ROWS", 1 << 19)
+    assert sum(len(x[0]) for x in S._split([(X.pack([h << 15, h, h % 7], 1), len(h))])) == len(h)
