@@ -62,3 +62,19 @@ def test_long_expression_and_empty_table(spark):
     df = spark.createDataFrame([(long,), ("(" * 200 + "5" + ")" * 200,)], "t string")
     assert [r.v for r in df.select(A.calculate(F.col("t")).alias("v")).collect()] == ["3000", "5"]
     assert spark.createDataFrame([], "t string").select(A.calculate(F.col("t"))).count() == 0
+
+
+def test_equal_expressions_are_worked_out_once(monkeypatch):
+    import pyarrow as pa
+
+    times = []
+    apply = A._apply
+    monkeypatch.setattr(A, "_apply", lambda *x: times.append(1) or apply(*x))
+    got = A._evaluated.func(pa.array(["1 + 2", "3 / 0", None, "2 * 3"] * 1000))
+    assert got.to_pylist() == ["3", None, None, "6"] * 1000 and len(times) == 3
+
+
+def test_one_failure_fails_its_row():
+    import pyarrow as pa
+
+    assert A._worked_out(pa.array(["( 1 / 0 ) + ( 4 / 2 )", "( 4 / 2 ) + ( 1 / 0 )", "1 + 1"])) == [None, None, "2"]
