@@ -1,13 +1,15 @@
 """JSON objects within texts of a language model, found by prefix sums over the bytes of Arrow batches.
 
 A brace counts +1 or -1; the sums over a text's braces are depths, and an object goes from a brace that leaves depth 0 to the next one that comes back to it. All
-texts of a batch are scanned at once. Whether a block is JSON is asked of a strict parser in the same batches, as Spark's own functions take single quotes and
+texts of a slice of a batch are scanned at once, so that memory goes by slices. Whether a block is JSON is asked of a strict parser in the same batches, as Spark's own functions take single quotes and
 whatever follows an object; keys and values are Spark's functions again.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +18,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from saltmarsh.sources.shared import give_back
+
 FENCE = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 #: Keys of results that can be explained. Fixed values.
 EXPLAINABLE = ("explain", "ranked", "internal", "periods", "warnings")
 EMPTY, NONE, OPEN, INVALID = "empty output", "no JSON object found", "unbalanced braces", "invalid JSON"
 _QUOTE, _BACK, _LEFT, _RIGHT = 34, 92, 123, 125
+SLICE_BYTES = 1 << 22  # of texts that are scanned at once; a longer text is a slice of its own
+
+
+def _slices(column: pa.Array) -> Iterator[pa.Array]:
+    """The rows of a batch, texts or lists of texts, in slices of some bytes."""
+    of_lists = pa.types.is_list(column.type)
+    sizes = pc.fill_null(pc.binary_length(column.flatten() if of_lists else column), 0).to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    if of_lists:
+        offsets = column.offsets.to_numpy()
+        ends = ends[offsets - offsets[0]]
+    begin = 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + SLICE_BYTES, "right")) - 1)
+        yield column.slice(begin, end - begin)
+        begin = end
+
+
+def _by_slices(work: Callable[[pa.Array], pa.Array]) -> Callable[[pa.Array], pa.Array]:
+    """``work`` on one slice of a batch after the other; its memory is returned behind each batch."""
+
+    @wraps(work)
+    def run(column: pa.Array) -> pa.Array:
+        done = [work(part) for part in _slices(column)] or [work(column)]
+        found = pa.concat_arrays(done)
+        del done
+        give_back()
+        return found
+
+    return run
 
 
 class _Texts:
@@ -61,6 +95,7 @@ def _paired(opens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
+@_by_slices
 def _counted_blocks(column: pa.Array) -> pa.Array:
     texts = _Texts(column)
     pos, _, sign, depth = texts.depths()
@@ -68,6 +103,7 @@ def _counted_blocks(column: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
+@_by_slices
 def _floored_blocks(column: pa.Array) -> pa.Array:
     texts = _Texts(column)
     pos, row, sign, depth = texts.depths()
@@ -80,6 +116,7 @@ def _floored_blocks(column: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.StructType([T.StructField("block", T.StringType()), T.StructField("reason", T.StringType())]))
+@_by_slices
 def _first_block(column: pa.Array) -> pa.Array:
     texts = _Texts(column)
     starts = texts.offsets[1:].copy()  # where the first object begins, or the text's end
@@ -122,6 +159,7 @@ def _is_object(block: str | None) -> bool:
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
+@_by_slices
 def _objects(column: pa.Array) -> pa.Array:
     """Of each list of blocks those that are JSON."""
     good = pa.array(map(_is_object, column.flatten().to_pylist()), pa.bool_())

@@ -143,3 +143,23 @@ def test_explainable(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "t string")
     assert none.select(X.first_object(F.col("t")), X.any_object(F.col("t")), X.keyed_object(F.col("t"))).count() == 0
+
+
+def test_texts_of_a_batch_are_scanned_in_slices(monkeypatch):
+    """No more than a slice of a batch is scanned at once, and the blocks are those of each text alone."""
+    import pyarrow as pa
+
+    texts = [None, "", '{"a": "}\\\\"}', "x" * 70 + '{"b": 1}', "{", '{"c": {"d": 2}} }', "no", '{"e": 3} {"f": 4}'] * 40
+    sizes = []
+    made = X._Texts.__init__
+    monkeypatch.setattr(X._Texts, "__init__", lambda self, column: made(self, column) or sizes.append(len(self.data)))
+    for udf in (X._first_block, X._counted_blocks, X._floored_blocks):
+        monkeypatch.setattr(X, "SLICE_BYTES", 1 << 22)
+        whole = udf.func(pa.array(texts)).to_pylist()
+        monkeypatch.setattr(X, "SLICE_BYTES", 100)
+        sizes.clear()
+        assert udf.func(pa.array(texts)).to_pylist() == whole and max(sizes) <= 100 and sum(sizes) == sum(len(t or "") for t in texts)
+        assert udf.func(pa.array(texts).slice(3, 50)).to_pylist() == whole[3:53]
+        assert udf.func(pa.array([], pa.string())).to_pylist() == []
+    lists = pa.array([['{"a": 1}', "{"], [], ['{"b": 2}'], [None]] * 30)
+    assert X._objects.func(lists).to_pylist() == [['{"a": 1}'], [], ['{"b": 2}'], []] * 30
