@@ -159,3 +159,25 @@ def test_offers_do_not_meet_each_of_their_days(spark):
     assert got[first] == (50, 1.0, 0)
     assert got[first + dt.timedelta(3999)] == (200_000, 1.0, 0)
     assert [got[first + dt.timedelta(k)][0] for k in range(4000)] == [50 * (k + 1) for k in range(4000)]
+
+
+def test_batches_are_traced_in_slices(spark, monkeypatch):
+    """As plain sets, with shared lots, a cycle and lots without farmers; each slice is written for itself."""
+    rng = random.Random(7)
+    mixed = [(k, rng.randrange(12)) for k in range(40)] + [(3, None), (5, 41)]
+    made_of = [(b, rng.randrange(44)) for b in range(60) for _ in range(3)] + [(None, 1), (61, None)]
+    farmers = [(rng.randrange(30), rng.randrange(25)) for _ in range(90)] + [(1, None)]
+    tests = [(b, "x", float(b % 4), None, 2.0) for b in range(62)]
+    names, made = [], tracing.saved
+    monkeypatch.setattr(tracing, "SLICE_ROWS", 20)
+    monkeypatch.setattr(tracing, "saved", lambda df, name, **more: names.append(name) or made(df, name, **more))
+    frame = spark.createDataFrame
+    got = tracing.trace_batches(frame(tests, "batch long, criterion string, value double, low double, high double"), frame(made_of, "batch long, lot long"), frame(mixed, "lot long, from_lot long"), frame(farmers, "lot long, farmer long")).collect()
+    assert names.count("walks") > 1
+    for r in got:
+        steps, now = {}, {lot for b, lot in made_of if b == r.batch and lot is not None and r.batch % 4 == 3}
+        for k in range(1, 60):
+            steps = {lot: k for lot in now} | steps
+            now = {up for lot, up in mixed if lot in now and up is not None}
+        whose = {f for lot, f in farmers if lot in steps and f is not None}
+        assert (r.n_lots, r.steps, r.n_farmers, r.first_farmer) == (len(steps), max(steps.values(), default=0), len(whose), min(whose, default=None)), r
