@@ -356,3 +356,19 @@ def test_buckets_go_by_the_size_of_texts(spark, monkeypatch):
     assert [len(x[0]) for x in S._split(packed)] == [len(h)] and len(times) == 1
     monkeypatch.setattr(S, "SPLIT_ROWS", 1 << 19)
     assert sum(len(x[0]) for x in S._split([(X.pack([h << 15, h, h % 7], 1), len(h))])) == len(h)
+
+
+def test_a_bucket_is_unpacked_once_and_worked_out_in_parts(monkeypatch):
+    """No part has more than a small share of the rows, all parts together have all of them."""
+    r = np.random.default_rng(4)
+    columns = [[r.integers(0, 1 << S.PART_BITS, 5000), np.sort(r.integers(0, 10**12, 5000)), r.integers(0, 9000, 5000)] for _ in range(40)]
+    packed = [(X.pack(c, 1), 5000) for c in columns]
+    monkeypatch.setattr(S, "SPLIT_ROWS", 1 << 15)
+    monkeypatch.setattr(S, "PART_ROWS", 1 << 14)
+    for held, times in ((16, 1), (4, 4), (3, 6)):
+        monkeypatch.setattr(S, "PARTS_HELD", held)
+        calls = []
+        monkeypatch.setattr(S, "unpack", lambda *a: calls.append(1) or X.unpack(*a))  # noqa: B023
+        parts = list(S._split(packed))
+        assert len(parts) >= 16 and len(calls) == times * len(packed) and max(len(x[0]) for x in parts) < 20000
+        assert sorted(zip(*(np.concatenate(x).tolist() for x in zip(*parts, strict=True)), strict=True)) == sorted(zip(*(np.concatenate(x).tolist() for x in zip(*columns, strict=True)), strict=True))
