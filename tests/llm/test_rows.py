@@ -1,6 +1,7 @@
 """The operators on single rows: round trips, brute force, held-out accuracy, and edge cases."""
 
 import base64
+import collections
 import hashlib
 import random
 import zlib
@@ -371,3 +372,20 @@ def test_names_outside_the_lists():
     caught = sum(model.score(x, "") >= 0.5 for x in UNWANTED.split())
     alarms = [x for x in HARMLESS.split() if model.score(x, "") >= 0.5]
     assert caught >= 27 and len(alarms) <= 2, (caught, alarms)
+
+
+def test_all_words_of_the_urls_are_known(spark):
+    """Scores are those of a model that holds all words of the urls, however many; the rarest of them splits a name too."""
+    r = random.Random(3)
+    letters = "abcdefghijklmnop"
+    names = sorted({"".join(r.choices(letters, k=6)) for _ in range(21_000)})
+    rare = "zyxwv"
+    urls = [f"s://{n}.net/" for n in names] * 4 + [f"s://{rare}.net/"] * 3 + [f"s://casino{rare}.net/casino", "s://qqcasino.net/", f"s://{names[5]}{names[7]}poker.org/x", None, "no", "s://12/"]
+    rows = spark.createDataFrame([(i % 7 or None, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {(x.host, x.path): x.score for x in U.judge_urls(rows, {}).collect()}
+    counts = collections.Counter(w for u in urls if u and "://" in u for w in U.runs_of(*(u[4:].split("/", 1) if "/" in u[4:] else (u[4:], ""))))
+    model = U.UrlClassifier(U.training_urls(), [(w, n) for w, n in counts.items() if n >= 3])
+    for host, path in ((f"casino{rare}.net", "/casino"), ("qqcasino.net", "/"), (f"{names[5]}{names[7]}poker.org", "/x"), ("", ""), ("12", "/"), (f"{names[0]}.net", "/")):
+        assert got[host, path] == model.score(host, path), (host, path)
+    assert model.words(f"casino{rare}", "") == ["casino", rare] and len(got) == len(names) + 6
+    assert U.judge_urls(rows, {}).count() == len(urls)
