@@ -53,10 +53,10 @@ def normalised_orders(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Orders of one schema (key, channel, external_id, customer, is_gift, items) from payloads (key, payload: JSON text) of three channels, and those that are none (key, error, payload).
 
     A quantity that is missing or 0 is 1, a missing price 0, a missing name the sku; prices may be texts. Errors: not JSON (null too), a channel that isn't known, no order id, no items.
-    Payloads are parsed once; each path is read where its channel has it.
+    Payloads are parsed once; each path is read where its channel has it. What is parsed and what is read goes through an array of one element, so that the
+    filters on the error stand behind it; they would otherwise be pushed down to the payloads, each with the making and parsing of a payload in it.
     """
-    v = F.try_parse_json("payload")
-    rows = payloads.select("key", "payload", v.alias("v")).withColumn("channel", F.lower(F.coalesce(_text(F.col("v"), "channel"), F.lit(""))))
+    rows = payloads.select("key", "payload", F.explode(F.array(F.try_parse_json("payload"))).alias("v")).withColumn("channel", F.lower(F.coalesce(_text(F.col("v"), "channel"), F.lit(""))))
     external, items = F.lit(None).cast("string"), None
     for channel, fields in CHANNELS.items():
         own = F.col("channel") == channel
@@ -73,7 +73,8 @@ def normalised_orders(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("external_id").isNull(), "no order id")
         .when(F.coalesce(F.size("items"), F.lit(0)) < 1, "no items")
     )
-    told = rows.withColumn("error", error)
+    told = rows.withColumn("error", error).drop("v")
+    told = told.select(F.inline(F.array(F.struct(*told.columns))))
     return told.filter("error IS NULL").select("key", "channel", "external_id", "customer", "is_gift", "items"), told.filter("error IS NOT NULL").select("key", "error", "payload")
 
 

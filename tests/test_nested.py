@@ -116,3 +116,10 @@ def test_sources_are_accounted_for(spark):
     catalog = spark.createDataFrame([("webhook", True)], "type string, is_trigger boolean")
     rows = merging.account(merging.merge({"a": a, "b": b}, catalog, [])).collect()
     assert sorted((r.source, r.reason, r.samples, r.kept) for r in rows) == [("a", "malformed", 1, 0), ("a", "ok", 1, 1), ("b", "ok", 1, 1)]
+
+
+def test_orders_are_parsed_once(spark):
+    """No filter on the error is pushed down with the parsing in it."""
+    payloads = spark.range(3).selectExpr("CAST(id AS int) AS key", "concat('{\"channel\": \"web\", \"id\": ', id, '}') AS payload")
+    for rows in nested.normalised_orders(payloads.join(spark.range(9).selectExpr("CAST(id AS int) AS key"), "key")):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
