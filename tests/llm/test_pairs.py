@@ -344,6 +344,51 @@ def test_recall_of_changed_passages(spark):
         assert sum(1000 * step + 2 * i + 1 in found for i in range(n)) == n
 
 
+def test_passage_whose_seeds_are_quoted_elsewhere(spark):
+    """The changed copy's seeds come first and last in documents that merely quote its runs of seven words, each apart."""
+    p = [f"p{i}" for i in range(88)]
+    changed = [f"c{i}" if i % 8 == 7 else x for i, x in enumerate(p)]
+    odd = lambda d, n: [f"d{d}x{i}" for i in range(n)]
+    runs = [p[i : i + 7] for i in range(0, 88, 8)]
+    quotes = [[w for i, q in enumerate(random.Random(d).sample(runs, len(runs))) for w in [*q, *odd(f"{d}q{i}", 60)]] for d in (0, 2)]
+    texts = [[*quotes[0]], [*odd(1, 60), *p], [*quotes[1]], [*odd(3, 60), *changed]]
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], DOC)
+    (f,) = S.repeated_passages(df).collect()
+    assert (f.doc_id, f.src_id, f.start_word, f.end_word, f.src_start, f.src_end, f.n_same) == (3, 1, 60, 147, 60, 147, 77)
+
+
+@pytest.mark.parametrize("holders", [1, 3, 20])
+def test_passages_whose_seeds_have_many_holders(spark, holders):
+    """Texts of common lines with changed words and other words between them, against all pairs."""
+    r = random.Random(holders)
+    lines = [[f"l{i}w{j}" for j in range(r.randint(24, 44))] for i in range(4 if holders == 20 else 12)]
+    texts, n = [], 0
+    for d in range(max(12, 3 * holders)):
+        text = [f"d{d}a"]
+        for i in r.sample(range(len(lines)), min(6, len(lines))):
+            line = list(lines[i])
+            if r.random() < 0.5:
+                line[r.randrange(len(line))] = f"d{d}c{i}"
+            n += 1
+            text += [*line, *(f"d{d}n{n}g{j}" for j in range(r.choice([0, 1, 3, 8, 30])))]
+        texts.append(text)
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], DOC).repartition(4)
+    covered = {}
+    for f in S.repeated_passages(df).collect():
+        covered.setdefault(f.doc_id, set()).update(range(f.start_word, f.end_word))
+    ids = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    coded = [np.array([ids[w] for w in t], np.uint32) for t in texts]
+    lost = total = 0
+    for d, a in enumerate(coded):
+        for b in coded[:d]:
+            for x, x2, y, y2, _ in S._compared(a, b, 5, 50, 80):
+                total += 1
+                both = {tuple(b[j : j + 5]) for j in range(y, y2 - 4)}
+                seeds = [j for j in range(x, x2 - 4) if tuple(a[j : j + 5]) in both]
+                lost += not all(set(range(j, j + 5)) <= covered.get(d, set()) for j in seeds)
+    assert total and not lost
+
+
 def test_buckets_go_by_the_size_of_texts(spark, monkeypatch):
     """One partition of 3 GB of text has as many buckets as many partitions; a bucket of ordinary size is unpacked once."""
     docs = spark.range(0, 100, 1, 1).selectExpr("id AS doc_id", "repeat('some word ', 3000000) AS text")
