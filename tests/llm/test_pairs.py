@@ -11,6 +11,7 @@ from saltmarsh.llm import embedding_dedup as E
 from saltmarsh.llm import ngram_join as N
 from saltmarsh.llm import substring_dedup as S
 from saltmarsh.llm._graph import components
+from saltmarsh.llm._store import stored
 from saltmarsh.llm.decontamination import find_contained, remove_contaminated
 
 DOC = "doc_id long, text string"
@@ -417,3 +418,55 @@ def test_a_bucket_is_unpacked_once_and_worked_out_in_parts(monkeypatch):
         parts = list(S._split(packed))
         assert len(parts) >= 16 and len(calls) == times * len(packed) and max(len(x[0]) for x in parts) < 20000
         assert sorted(zip(*(np.concatenate(x).tolist() for x in zip(*parts, strict=True)), strict=True)) == sorted(zip(*(np.concatenate(x).tolist() for x in zip(*columns, strict=True)), strict=True))
+
+
+def test_matches_are_dealt_finer_than_hashes():
+    """A bucket of matches is chained at once, so it has a small share of the documents."""
+    doc = np.arange(1 << 16)
+    assert max(S._by_doc([doc, doc, doc, doc], 6).column(2).to_pylist()) < len(doc) / 128
+    assert max(S._by_doc([doc, doc, doc, doc], 16).column(0).to_pylist()) < 1 << 16
+
+
+def test_python_gets_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    wide = spark.range(0, 400, 1, 1).selectExpr("repeat('x', 50000) AS text").mapInArrow(sizes, "n long")
+    assert max(r.n for r in stored(wide, "sizes", 1 << 20).collect()) < 1 << 21
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_dense_matches_are_chained_without_the_tree(monkeypatch):
+    """In texts of repeated lines; the chains are those of the tree."""
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        at = sorted({(int(a), int(b)) for a, b in zip(r.integers(0, 40, 600), r.integers(0, 150, 600), strict=True)})
+        pos, spos = (np.array(x) for x in zip(*at, strict=True))
+        monkeypatch.setattr(S, "DENSE", 10**9)
+        tree = [c.tolist() for c in S.chains(pos, spos)]
+        monkeypatch.undo()
+        with monkeypatch.context() as m:
+            m.setattr(S.PrefixMaxima, "add", None)
+            assert [c.tolist() for c in S.chains(pos, spos)] == tree
+
+
+def test_only_what_may_hold_an_open_seed_is_aligned(monkeypatch):
+    """The same passages as of all seeds, and fewer chains aligned: not those beside words that the source lacks, nor short ones."""
+    r = random.Random(6)
+    lines = [[r.randrange(60) for _ in range(r.randint(6, 14))] for _ in range(12)]
+    calls, align = [], S.align
+    monkeypatch.setattr(S, "align", lambda *x: calls.append(1) or align(*x))
+    most = [0, 0]
+    for _ in range(12):
+        a, b = ([w for _ in range(30) for w in [*r.choice(lines), *(r.randrange(100, 10**6) for _ in range(r.choice([0, 0, 1, 9])))]] for _ in range(2))
+        a, b, seeds = np.array(a, np.uint32), np.array(b, np.uint32), np.array([40, 41, 42, 160])
+        found = []
+        for i, given in enumerate((None, seeds)):
+            calls.clear()
+            rows = S._compared(a, b, 5, 50, 80, given)
+            found.append({j for x in rows if ((seeds >= x[0]) & (seeds + 5 <= x[1])).any() for j in range(x[0], x[1])})
+            most[i] += len(calls)
+        assert found[0] == found[1]
+    assert most[1] < most[0]
