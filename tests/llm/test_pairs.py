@@ -358,6 +358,35 @@ def test_passage_whose_seeds_are_quoted_elsewhere(spark):
     assert (f.doc_id, f.src_id, f.start_word, f.end_word, f.src_start, f.src_end, f.n_same) == (3, 1, 60, 147, 60, 147, 77)
 
 
+def test_tables_of_pairs_do_not_grow_with_their_number(spark, monkeypatch):
+    """Texts whose stretches meet those of most others: words are held once for each, the rest is worked out in passes, which give the same."""
+    r, tables, keep = random.Random(4), [], S.stored
+    lines = [[f"l{i}w{j}" for j in range(r.randint(24, 44))] for i in range(4)]
+    texts = []
+    for d in range(60):
+        text = [f"d{d}a"]
+        for i in r.sample(range(4), 4):
+            line = list(lines[i])
+            line[r.randrange(len(line))] = f"d{d}c{i}"
+            text += [*line, *(f"d{d}n{i}g{j}" for j in range(r.choice([0, 1, 3, 8, 30])))]
+        texts.append((d, " ".join(text)))
+    df = spark.createDataFrame(texts, DOC).repartition(4)
+
+    def counted(docs, name, *more):
+        out = keep(docs, name, *more)
+        tables.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(S, "stored", counted)
+    found = sorted(S.repeated_passages(df).collect())
+    rows = lambda name: [n for x, n in tables if x == name]
+    assert len(rows("matches")) == 2 and rows("words")[-1] <= len(texts) < sum(rows("pairs"))
+    tables.clear()
+    monkeypatch.setattr(S, "LEAST_BYTES", 1 << 20)
+    assert sorted(S.repeated_passages(df).collect()) == found
+    assert len(rows("more")) > 1 and len(rows("meetings")) > 1
+
+
 @pytest.mark.parametrize("holders", [1, 3, 20])
 def test_passages_whose_seeds_have_many_holders(spark, holders):
     """Texts of common lines with changed words and other words between them, against all pairs."""
